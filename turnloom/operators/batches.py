@@ -64,7 +64,11 @@ def ordered_rank(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
     ).scalar()
 
     def bucketed(d: DataFrame) -> DataFrame:
-        return d.withColumn("bucket", F.size(F.filter(cuts, lambda c: c < F.col(key))))
+        return (
+            d.withColumn("cuts", cuts)
+            .withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(key))))
+            .drop("cuts")
+        )
 
     within = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
     offsets = _offsets(bucketed(df.select(key))).select("bucket", "before")
@@ -131,6 +135,7 @@ def batch_ids(df: DataFrame, key: str, batch_size: int, seed: int | None = 42, d
     """
     ranked = ordered_rank(df, key) if seed is None else shuffled_rank(df, key, seed)
     if drop_last:
+        # A count reads no column; parquet answers it from its footers.
         n = df.select(F.count("*").alias("n")).scalar()
         ranked = ranked.where(F.col("rank") < n - n % batch_size)
     return ranked.select(

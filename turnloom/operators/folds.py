@@ -3,16 +3,16 @@
 A run is cut into blocks of consecutive steps. Running sums and maxima add a block's own
 window to the totals of earlier blocks. The schedule recursions are maps
 ``x -> min(hi, max(lo, c*x + d))`` with ``c >= 0``; such maps compose to a map of the same
-kind, so blocks (and groups of blocks) are composed first and each block then starts from
-the state its predecessors leave behind.
+kind, so a block is first composed to one small summary, the summaries of a run are walked in
+order, and each block then starts from the state its predecessors leave behind.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-WIDTH = 1024
-FAN = 1024
+WIDTH = 16_384
+CHUNK = 128
 INF = float("inf")
 
 
@@ -53,19 +53,6 @@ def running(
     )
 
 
-def previous(df: DataFrame, key: str, order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
-    """Add the value of the row before, per key in the given order."""
-    b = df.withColumn("_b", _block(order, width))
-    ends = b.groupBy(key, "_b").agg(F.max_by(value, order).alias("_end"))
-    handed = ends.select(key, "_b", F.lag("_end").over(Window.partitionBy(key).orderBy("_b")).alias("_in"))
-    inside = Window.partitionBy(key, "_b").orderBy(order)
-    first = F.row_number().over(inside) == 1
-    near = b.select("*", F.lag(value).over(inside).alias("_near"), first.alias("_first"))
-    return near.join(handed, [key, "_b"]).select(
-        *df.columns, F.when(F.col("_first"), F.col("_in")).otherwise(F.col("_near")).alias(name)
-    )
-
-
 # --- clamped affine maps -------------------------------------------------------------
 
 
@@ -92,51 +79,33 @@ def compose(first: Column, then: Column) -> Column:
     )
 
 
-def _states(items: Column, start: Column, label: str) -> Column:
-    """Per item: its label and the state before and after it."""
-    item_type = f"array<struct<{label}:bigint,before:double,after:double>>"
+def _composed(items: Column) -> Column:
+    return F.aggregate(items, clamp_map(*IDENTITY), compose)
+
+
+def _walk(maps: Column, start: Column) -> Column:
+    """State before and after every map of a short list."""
+    pair = "array<struct<before:double,after:double>>"
     return F.aggregate(
-        items,
-        F.struct(start.cast("double").alias("x"), F.array().cast(item_type).alias("out")),
-        lambda a, e: F.struct(
-            apply_map(e["f"], a["x"]).alias("x"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        e[label].cast("long").alias(label), a["x"].alias("before"), apply_map(e["f"], a["x"]).alias("after")
-                    )
-                ),
-            ).alias("out"),
+        maps,
+        F.struct(start.cast("double").alias("x"), F.array().cast(pair).alias("out")),
+        lambda a, f: F.struct(
+            apply_map(f, a["x"]).alias("x"),
+            F.concat(a["out"], F.array(F.struct(a["x"].alias("before"), apply_map(f, a["x"]).alias("after")))).alias("out"),
         ),
         lambda a: a["out"],
     )
 
 
-def _composed(items: Column) -> Column:
-    return F.aggregate(items, clamp_map(*IDENTITY), lambda acc, e: compose(acc, e["f"]))
-
-
-def map_scan(df: DataFrame, key: str, order: str, f: Column, start: float, width: int = WIDTH, fan: int = FAN) -> DataFrame:
-    """(key, order, before, after): fold each row's map over the key's rows in order."""
-
-    def grouped(d: DataFrame, by: list[str], label: str) -> DataFrame:
-        return d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(label, "f"))).alias("items"))
-
-    rows = df.select(key, F.col(order).cast("long").alias(order), _block(order, width).alias("_b"), f.alias("f"))
-    blocks = grouped(rows, [key, "_b"], order)
-    groups = grouped(
-        blocks.select(key, "_b", F.floor(F.col("_b") / fan).cast("long").alias("_g"), _composed(F.col("items")).alias("f")),
-        [key, "_g"], "_b",
+def states(maps: Column, start: Column, chunk: int = CHUNK) -> Column:
+    """State before and after every map, list walked in chunks so that appending stays cheap."""
+    last = F.greatest(F.ceil(F.size(maps) / chunk) - 1, F.lit(0)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(maps, k * chunk + 1, F.lit(chunk)))
+    entered = F.transform(
+        F.array(chunks),
+        lambda cs: F.zip_with(cs, _walk(F.transform(cs, _composed), start), lambda c, s: _walk(c, s["before"])),
     )
-    tops = grouped(groups.select(key, "_g", _composed(F.col("items")).alias("f")), [key], "_g")
-    group_in = tops.select(key, F.inline(_states(F.col("items"), F.lit(float(start)), "_g"))).select(
-        key, "_g", F.col("before").alias("x")
-    )
-    block_in = groups.join(group_in, [key, "_g"]).select(
-        key, F.inline(_states(F.col("items"), F.col("x"), "_b"))
-    ).select(key, "_b", F.col("before").alias("x"))
-    return blocks.join(block_in, [key, "_b"]).select(key, F.inline(_states(F.col("items"), F.col("x"), order)))
+    return F.flatten(F.flatten(entered))
 
 
 def sigmoid(x: Column) -> Column:
@@ -162,28 +131,87 @@ def interp_schedule(
     """
     if not (0.0 <= t_start < 1.0 and 0.0 < t_end <= 1.0 and 0.0 <= alpha <= 1.0):
         raise ValueError("need 0 <= t_start < 1, 0 < t_end <= 1, 0 <= alpha <= 1")
-    prev = previous(df.select(key, step, F.col(loss).cast("double").alias("loss"), total), key, step, "loss", "prev", width)
-    seeds = F.col("prev").isNull() | (F.abs("prev") == F.lit(INF))
-    change = (F.col("prev") - F.col("loss")) / (F.col("prev") + F.lit(1e-15))
-    momentum_map = F.when(seeds, clamp_map(*IDENTITY)).otherwise(clamp_map(beta, F.lit(1.0 - beta) * change))
-    momentum = map_scan(prev, key, step, momentum_map, 0.0, width).select(key, step, F.col("after").alias("momentum"))
     target = F.lit(t_start) + F.lit(t_end - t_start) * F.col(step) / F.col(total)
-    rows = (
-        prev.join(momentum, [key, step])
-        .withColumn("seeds", seeds)
-        .withColumn("gain", F.lit(float(alpha)) * sigmoid(F.col("momentum")))
-        .withColumn("target", target)
+    item = F.struct(
+        F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"), target.cast("double").alias("target")
+    )
+    blocks = df.groupBy(key, _block(step, width).alias("b")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+
+    def momentum_map(before: Column, now: Column) -> Column:
+        seeds = before.isNull() | (F.abs(before) == F.lit(INF))
+        change = (before - now) / (before + F.lit(1e-15))
+        return F.when(seeds, clamp_map(*IDENTITY)).otherwise(clamp_map(beta, F.lit(1.0 - beta) * change))
+
+    def loss_at(rows: Column, i: Column) -> Column:
+        return F.get(rows, i)["loss"]
+
+    # Per block: its first and last loss and the composed map of all rows but the first, whose
+    # predecessor is known only once the blocks of the run are in order.
+    rest = F.transform(
+        F.slice("rows", F.lit(2), F.size("rows")), lambda r, i: momentum_map(loss_at(F.col("rows"), i), r["loss"])
+    )
+    ends = blocks.select(
+        key,
+        F.struct(
+            "b", loss_at(F.col("rows"), F.lit(0)).alias("first"), loss_at(F.col("rows"), F.size("rows") - 1).alias("last"),
+            _composed(rest).alias("f"),
+        ).alias("e"),
+    )
+    summary = ends.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    entering = F.transform("es", lambda e, i: F.when(i > 0, F.get(F.col("es"), i - 1)["last"]))
+    maps = F.zip_with("es", "prev", lambda e, p: compose(momentum_map(p, e["first"]), e["f"]))
+    handed = (
+        summary.withColumn("prev", entering)
+        .withColumn("ms", states(maps, F.lit(0.0)))
+        .select(
+            key,
+            F.inline_outer(
+                F.transform(
+                    "es",
+                    lambda e, i: F.struct(
+                        e["b"].alias("b"), F.get(F.col("prev"), i).alias("prev"), F.get(F.col("ms"), i)["before"].alias("m0")
+                    ),
+                )
+            ),
+        )
     )
-    moved = (
-        clamp_map(F.lit(1.0) - F.col("gain"), F.col("gain"), F.col("target"), t_end)
-        if adaptive
-        else clamp_map(0.0, F.col("target"))
+
+    def moved(seeds: Column, gain: Column, goal: Column) -> Column:
+        step_map = clamp_map(F.lit(1.0) - gain, gain, goal, t_end) if adaptive else clamp_map(0.0, goal)
+        return F.when(seeds, clamp_map(*IDENTITY)).otherwise(step_map)
+
+    before = F.transform(
+        "rows", lambda r, i: F.when(i > 0, loss_at(F.col("rows"), i - 1)).otherwise(F.col("prev"))
     )
-    t = map_scan(rows, key, step, F.when(F.col("seeds"), clamp_map(*IDENTITY)).otherwise(moved), t_start, width)
-    return rows.join(t, [key, step]).select(
-        key, step, F.col("after").alias("t"), "momentum",
-        F.when(~F.col("seeds"), F.col("gain") * (1 - F.col("before"))).alias("delta_t"),
+    with_t = (
+        blocks.join(handed, [key, "b"])
+        .withColumn("before", before)
+        .withColumn("m", states(F.zip_with("before", "rows", lambda p, r: momentum_map(p, r["loss"])), F.col("m0")))
+        .withColumn("seeds", F.transform("before", lambda p: p.isNull() | (F.abs(p) == F.lit(INF))))
+        .withColumn("gain", F.transform("m", lambda s: F.lit(float(alpha)) * sigmoid(s["after"])))
+        .withColumn(
+            "f",
+            F.transform("rows", lambda r, i: moved(F.get(F.col("seeds"), i), F.get(F.col("gain"), i), r["target"])),
+        )
+        .drop("before", "prev", "m0")
     )
+    per_run = with_t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", _composed(F.col("f")).alias("f")))).alias("fs"))
+    entered = per_run.withColumn("ts", states(F.transform("fs", lambda x: x["f"]), F.lit(float(t_start)))).select(
+        key,
+        F.inline_outer(F.transform("fs", lambda x, i: F.struct(x["b"].alias("b"), F.get(F.col("ts"), i)["before"].alias("t0")))),
+    )
+    done = with_t.join(entered, [key, "b"]).withColumn("t", states(F.col("f"), F.col("t0")))
+
+    def result(r: Column, i: Column) -> Column:
+        t = F.get(F.col("t"), i)
+        return F.struct(
+            r["step"].alias(step),
+            t["after"].alias("t"),
+            F.get(F.col("m"), i)["after"].alias("momentum"),
+            F.when(~F.get(F.col("seeds"), i), F.get(F.col("gain"), i) * (1 - t["before"])).alias("delta_t"),
+        )
+
+    return done.select(key, F.inline_outer(F.transform("rows", result)))
 
 
 def cosine_curriculum(epoch: Column, lambda_max: float = 1.0, lambda_min: float = 0.0, num_loops: int = 10) -> Column:

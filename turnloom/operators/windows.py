@@ -26,8 +26,6 @@ from turnloom.operators.template import GENERIC, ROLES, Template, chat_pair, pre
 DEFAULT_WIDTH = 4096
 HEAD_SALTS = 32
 
-START_TYPE = "struct<ix:int,sum:int,best:int,best_sum:int,last:int,last_sum:int>"
-
 
 def context_length(budget: Budget, template: Template) -> int:
     """Messages before a target that can matter; one more than the longest fitting window."""
@@ -324,51 +322,67 @@ def expand_blocks(
         lambda i: (F.get(body, i - 1)["role"] == "assistant") & (F.get(body, i - 1)["n"] <= budget.max_output),
     )
 
-    def scan(i: Column) -> Column:
-        room = F.least(
+    def room(i: Column) -> Column:
+        left = F.least(
             F.lit(budget.max_input) - F.col("head_cost") - len(gen),
             F.lit(budget.max_length) - F.col("head_cost") - F.get(body, i - 1)["cost"],
         )
-        back = F.reverse(F.slice(body, i - span(i), span(i)))
-        return F.struct(
-            i.alias("i"),
-            _scan_back(i, back, room, F.col("at_start"), span(i) == i - 1).alias("s"),
-        )
+        return F.struct(i.alias("i"), span(i).alias("span"), left.alias("room"))
+
+    def scan(t: Column) -> Column:
+        back = F.reverse(F.slice(body, t["i"] - t["span"], t["span"]))
+        walked = _scan_back(t["i"], back, t["room"], F.col("at_start"), t["span"] == t["i"] - 1)
+        return F.struct(t["i"].alias("i"), t["span"].alias("span"), walked.alias("s"))
 
     def sample(p: Column) -> Column:
         i, s = p["i"], p["s"]
         target = F.get(body, i - 1)
-        fits = s["best"].isNotNull()
-        whole_prompt = F.col("head_cost") + F.when(fits, s["best_sum"]).otherwise(s["last_sum"]) + len(gen)
-        n_prompt = F.when(fits, whole_prompt).otherwise(F.least(F.lit(budget.max_input), whole_prompt))
-        whole = whole_prompt - len(gen) + target["cost"]
         fields = [
             target["turn"].alias("turn"),
-            F.when(fits, F.get(body, s["best"] - 1)["turn"]).alias("start"),
-            F.when(~fits, "trunc").when(F.col("at_start") & (s["best"] == 1), "full").otherwise("window").alias("kind"),
-            n_prompt.cast("int").alias("n_prompt"),
-            F.when(fits, whole).otherwise(F.least(whole, n_prompt + target["n"])).cast("int").alias("n_full"),
+            F.get(body, s["best"] - 1)["turn"].alias("start"),
+            (s["best"] == 1).alias("from_first"),
+            F.coalesce(s["best_sum"], s["last_sum"]).alias("history_cost"),
+            target["cost"].alias("cost"),
             target["n"].alias("n_response"),
         ]
         if vocab is not None:
-            begin = F.coalesce(s["best"], s["last"], i - span(i))
+            begin = F.coalesce(s["best"], s["last"], i - p["span"])
             history = F.flatten(F.transform(F.slice(body, begin, i - begin), lambda e: e["ids"]))
-            prompt = F.concat(F.col("head_ids"), history, _id_array([_token_id(vocab, w) for w in gen]))
-            full = F.concat(F.col("head_ids"), history, target["ids"])
-            skip = len(template.marker_words(template.prefix, "assistant"))
-            answer = F.slice(target["ids"], F.lit(skip + 1), target["n"])
-            cut = A.tail(prompt, budget.max_input)
-            fields += [
-                F.when(fits, prompt).otherwise(cut).alias("prompt_ids"),
-                F.when(fits, full).otherwise(truncated_full(full, cut, answer)).alias("input_ids"),
-                target["response"].alias("response"),
-            ]
+            fields += [history.alias("history"), target["ids"].alias("target_ids"), target["response"].alias("response")]
         return F.struct(*fields)
 
-    out = df.select(*keys, F.transform(F.transform(targets, scan), sample).alias("samples")).select(
-        *keys, F.inline("samples")
+    staged = F.transform(F.transform(F.transform(targets, room), scan), sample)
+    carried = ["head_cost", "at_start"] + (["head_ids"] if vocab is not None else [])
+    # The outer form, because Spark would otherwise evaluate the array twice: once to filter
+    # out rows without samples, once to produce them.
+    rows = df.select(*keys, *carried, F.inline_outer(staged)).where(F.col("turn").isNotNull())
+
+    fits = F.col("start").isNotNull()
+    whole_prompt = F.col("head_cost") + F.col("history_cost") + len(gen)
+    n_prompt = F.when(fits, whole_prompt).otherwise(F.least(F.lit(budget.max_input), whole_prompt))
+    whole = F.col("head_cost") + F.col("history_cost") + F.col("cost")
+    kind = F.when(~fits, "trunc").when(F.col("at_start") & F.col("from_first"), "full").otherwise("window")
+    counts = [
+        n_prompt.cast("int").alias("n_prompt"),
+        F.when(fits, whole).otherwise(F.least(whole, n_prompt + F.col("n_response"))).cast("int").alias("n_full"),
+    ]
+    base = [*keys, "turn", "start", kind.alias("kind"), *counts, "n_response"]
+    if vocab is None:
+        return rows.select(*base)
+    skip = len(template.marker_words(template.prefix, "assistant"))
+    joined = rows.select(
+        *base,
+        "response",
+        F.concat("head_ids", "history", _id_array([_token_id(vocab, w) for w in gen])).alias("prompt"),
+        F.concat("head_ids", "history", "target_ids").alias("full"),
+        F.slice("target_ids", F.lit(skip + 1), F.col("n_response")).alias("answer"),
     )
-    return out.withColumn("labels", F.col("input_ids")) if vocab is not None else out
+    cut = A.tail(F.col("prompt"), budget.max_input)
+    return joined.select(
+        *keys, "turn", "start", "kind", "n_prompt", "n_full", "n_response", "response",
+        F.when(fits, F.col("prompt")).otherwise(cut).alias("prompt_ids"),
+        F.when(fits, F.col("full")).otherwise(truncated_full(F.col("full"), cut, F.col("answer"))).alias("input_ids"),
+    ).withColumn("labels", F.col("input_ids"))
 
 
 def truncated_full(full: Column, prompt_cut: Column, answer: Column) -> Column:
@@ -485,13 +499,13 @@ def expand_exact(
             legal = F.filter(legal, small) if cfg.enable_thinking != "false" else legal
         return F.transform(legal, lambda s: F.struct(s.alias("start"), F.concat("head", window(s, i)).alias("w")))
 
-    picked = rows.select(*keys, "k", F.explode(F.transform(targets, lambda i: F.struct(i.alias("i"), candidates(i).alias("c")))).alias("t"))
+    picked = rows.select(*keys, "k", F.explode_outer(F.transform(targets, lambda i: F.struct(i.alias("i"), candidates(i).alias("c")))).alias("t"))
 
     def pair(c: Column) -> Column:
         prompt, full, answer = chat_pair(c["w"], template, cfg)
         return F.struct(c["start"].alias("start"), prompt.alias("prompt"), full.alias("full"), answer.alias("answer"))
 
-    texts = picked.select(*keys, "k", F.col("t.i").alias("i"), F.transform("t.c", pair).alias("c")).withColumn(
+    texts = picked.where(F.col("t").isNotNull()).select(*keys, "k", F.col("t.i").alias("i"), F.transform("t.c", pair).alias("c")).withColumn(
         "answer", F.get(F.col("c"), F.lit(0))["answer"]
     )
     coded = (

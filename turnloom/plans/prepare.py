@@ -65,7 +65,8 @@ def prepare(
         return samples(split_given(source, evaluation), [key, "split"])
     if level == "conversation":
         return samples(split_exact(source, key, cfg.eval_size, cfg.eval_ratio, cfg.seed), [key, "split"])
-    return split_exact(samples(source, [key]), "sample_id", cfg.eval_size, cfg.eval_ratio, cfg.seed)
+    expanded = sinks.staged(samples(source, [key]), "expanded")
+    return split_exact(expanded, "sample_id", cfg.eval_size, cfg.eval_ratio, cfg.seed)
 
 
 def store(samples: DataFrame, path: str, chunk_bytes: int | str = sinks.CHUNK_BYTES) -> None:

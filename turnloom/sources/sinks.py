@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 500_000_000
 SPLITS = ("train", "test")
@@ -39,34 +39,27 @@ def parse_bytes(size: int | str) -> int:
     return int(float(number) * {"B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12}[unit])
 
 
-def row_bytes() -> Column:
-    """Raw size of a prepared sample: four bytes per id, plus its text."""
-    ids = F.size("input_ids") + F.size("labels") + F.size("prompt_ids")
-    return (F.lit(4) * ids + F.octet_length("response")).cast("long")
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """Write once to the shared folder and read back: costly input that is used several times."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_chunks(df: DataFrame, path: str, chunk_bytes: int | str = CHUNK_BYTES, key: str = "sample_id") -> None:
-    """Write samples under ``path/split=.../`` in files of about ``chunk_bytes`` raw bytes.
+def write_chunks(df: DataFrame, path: str, chunk_bytes: int | str = CHUNK_BYTES) -> None:
+    """Write samples under ``path/split=.../`` in files of about ``chunk_bytes``.
 
-    The rows are written once to learn their size and spread by key into as many files per
-    split as that size asks for.
+    Adaptive execution sizes the write tasks: a large split is cut into many tasks of that
+    size, a small one stays in one. The rows are produced once.
     """
-    sizes = df.groupBy("split").agg(F.sum(row_bytes()).alias("bytes")).collect()
-    chunks = {r["split"]: max(1, -(-int(r["bytes"]) // parse_bytes(chunk_bytes))) for r in sizes}
-    if not chunks:
-        df.write.mode("overwrite").partitionBy("split").parquet(path)
-        return
-    per_split = F.lit(1)
-    for split, n in chunks.items():
-        per_split = F.when(F.col("split") == split, F.lit(n)).otherwise(per_split)
-    (
-        df.withColumn("_chunk", F.pmod(F.xxhash64(key), per_split))
-        .repartition(sum(chunks.values()), "split", "_chunk")
-        .drop("_chunk")
-        .write.mode("overwrite")
-        .partitionBy("split")
-        .parquet(path)
-    )
+    conf = df.sparkSession.conf
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = conf.get(name, None)
+    conf.set(name, str(parse_bytes(chunk_bytes)))
+    try:
+        df.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
