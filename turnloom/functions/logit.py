@@ -45,7 +45,7 @@ def standardize(logits: Column) -> Column:
             (a["mean"] + (x - a["mean"]) / (a["n"] + 1)).alias("mean"),
             (a["m2"] + (x - a["mean"]) * (x - a["mean"]) * a["n"] / (a["n"] + 1)).alias("m2"),
         ),
-        lambda a: F.struct(a["mean"].alias("mean"), F.sqrt(a["m2"] / (a["n"] - 1)).alias("std")),
+        lambda a: F.struct(a["mean"].alias("mean"), F.sqrt(F.try_divide(a["m2"], a["n"] - 1)).alias("std")),
     )
     return F.flatten(
         F.transform(

@@ -27,30 +27,30 @@ def unit_hash(seed: int, key: Column) -> Column:
 
 def _offsets(df: DataFrame) -> DataFrame:
     """Per bucket: rows in it and rows before it. At most 16**HASH_DIGITS rows."""
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        df.groupBy("bucket")
-        .agg(F.count("*").alias("size"))
-        .select("bucket", "size", (F.sum("size").over(running) - F.col("size")).alias("before"))
+        df.groupBy("_bucket")
+        .agg(F.count("*").alias("_size"))
+        .select("_bucket", "_size", (F.sum("_size").over(running) - F.col("_size")).alias("_before"))
     )
 
 
 def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.withColumn("h", seeded_hash(seed, F.col(key))).withColumn(
-        "bucket", F.substring("h", 1, HASH_DIGITS)
+    return df.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn(
+        "_bucket", F.substring("_h", 1, HASH_DIGITS)
     )
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Add ``rank``: the row's 0-based place in the seeded order. ``key`` must be unique."""
     rows = _bucketed(df, key, seed)
-    offsets = _offsets(_bucketed(df.select(key), key, seed)).select("bucket", "before")
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
+    offsets = _offsets(_bucketed(df.select(key), key, seed)).select("_bucket", "_before")
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
     return (
-        rows.withColumn("within", within)
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn("rank", (F.col("before") + F.col("within") - 1).cast("long"))
-        .drop("h", "bucket", "within", "before")
+        rows.withColumn("_within", within)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn("rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
+        .drop("_h", "_bucket", "_within", "_before")
     )
 
 
@@ -65,19 +65,19 @@ def ordered_rank(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
 
     def bucketed(d: DataFrame) -> DataFrame:
         return (
-            d.withColumn("cuts", cuts)
-            .withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(key))))
-            .drop("cuts")
+            d.withColumn("_cuts", cuts)
+            .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key))))
+            .drop("_cuts")
         )
 
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
-    offsets = _offsets(bucketed(df.select(key))).select("bucket", "before")
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    offsets = _offsets(bucketed(df.select(key))).select("_bucket", "_before")
     return (
         bucketed(df)
-        .withColumn("within", within)
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn("rank", (F.col("before") + F.col("within") - 1).cast("long"))
-        .drop("bucket", "within", "before")
+        .withColumn("_within", within)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn("rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
+        .drop("_bucket", "_within", "_before")
     )
 
 
@@ -100,24 +100,24 @@ def split_exact(df: DataFrame, key: str, size: int, ratio: float = 0.02, seed: i
     """
     keys = _bucketed(df.select(key), key, seed)
     k = eval_size(df.select(F.count("*").alias("n")).scalar(), size, ratio)
-    buckets = _offsets(keys).withColumn("k", k)
-    edge = buckets.where((F.col("before") < F.col("k")) & (F.col("before") + F.col("size") > F.col("k")))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
+    buckets = _offsets(keys).withColumn("_k", k)
+    edge = buckets.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_size") > F.col("_k")))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
     last = (
-        keys.join(F.broadcast(edge.select("bucket", "before", "k")), "bucket")
-        .withColumn("place", place)
-        .where(F.col("before") + F.col("place") == F.col("k"))
-        .select("bucket", F.struct("h", F.col(key)).alias("last"))
+        keys.join(F.broadcast(edge.select("_bucket", "_before", "_k")), "_bucket")
+        .withColumn("_place", place)
+        .where(F.col("_before") + F.col("_place") == F.col("_k"))
+        .select("_bucket", F.struct("_h", F.col(key)).alias("_last"))
     )
-    plan = buckets.join(F.broadcast(last), "bucket", "left").select(
-        "bucket", (F.col("before") + F.col("size") <= F.col("k")).alias("inside"), "last"
+    plan = buckets.join(F.broadcast(last), "_bucket", "left").select(
+        "_bucket", (F.col("_before") + F.col("_size") <= F.col("_k")).alias("_inside"), "_last"
     )
-    in_test = F.col("inside") | F.coalesce(F.struct("h", F.col(key)) <= F.col("last"), F.lit(False))
+    in_test = F.col("_inside") | F.coalesce(F.struct("_h", F.col(key)) <= F.col("_last"), F.lit(False))
     return (
         _bucketed(df, key, seed)
-        .join(F.broadcast(plan), "bucket")
+        .join(F.broadcast(plan), "_bucket")
         .withColumn("split", F.when(in_test, "test").otherwise("train"))
-        .drop("h", "bucket", "inside", "last")
+        .drop("_h", "_bucket", "_inside", "_last")
     )
 
 

@@ -144,7 +144,10 @@ def adaptive(threshold: float = HEAD_THRESHOLD, corrected: bool = False) -> Colu
     return F.get(
         F.transform(
             F.array(head_gap(threshold, corrected)),
-            lambda g: (g["head"] * fkl() + g["tail"] * rkl()) / (g["head"] + g["tail"]),
+            # No gap at all gives no weights: not a number, as in plain float arithmetic.
+            lambda g: F.when(g["head"] + g["tail"] == 0, F.lit(float("nan"))).otherwise(
+                (g["head"] * fkl() + g["tail"] * rkl()) / (g["head"] + g["tail"])
+            ),
         ),
         F.lit(0),
     )

@@ -88,13 +88,32 @@ def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabula
     return split.select(key, F.col("turn").cast("long").alias("turn"), "role", entry.alias("entry"))
 
 
-def _checked(entries: Column, first_turn: Column, key: str) -> Column:
+def late_prefix(messages: Column) -> Column:
+    """Is a system/developer message the first one of some shortened window?
+
+    The harmony family merges it into the window's leading message, so the lengths of such
+    a conversation do not add up message by message.
+    """
+    return F.exists(
+        F.transform(
+            messages,
+            lambda m, i: m["role"].isin(*PREFIX_ROLES) & F.coalesce(F.get(messages, i - 1)["role"] == "assistant", F.lit(False)),
+        ),
+        lambda x: x,
+    )
+
+
+def _checked(entries: Column, first_turn: Column, key: str, template: Template) -> Column:
     """Positions must be contiguous; a gap or a repeat would silently change windows."""
     gap = F.exists(
         F.transform(entries, lambda e, i: e["turn"] != first_turn + i), lambda bad: bad
     )
     message = F.concat(F.lit("turn positions are not 0,1,2,... in conversation "), F.col(key).cast("string"))
-    return F.when(gap, F.raise_error(message)).otherwise(entries)
+    checked = F.when(gap, F.raise_error(message))
+    if template.harmony:
+        nest = F.lit("a system message opens a later window: nest the turns and use expand_nested for this family")
+        checked = checked.when(late_prefix(entries), F.raise_error(nest))
+    return checked.otherwise(entries)
 
 
 def turn_blocks(
@@ -120,7 +139,7 @@ def turn_blocks(
     start = (
         short.groupBy(key)
         .agg(F.array_sort(F.collect_list("entry")).alias("ms"))
-        .select(key, _checked(F.col("ms"), F.lit(0), key).alias("ms"))
+        .select(key, _checked(F.col("ms"), F.lit(0), key, template).alias("ms"))
         .withColumn("k", prefix_length(F.col("ms")))
         .select(
             key,
@@ -149,7 +168,7 @@ def turn_blocks(
         .agg(F.array_sort(F.collect_list("entry")).alias("ms"))
         .where(F.size("ms") > context)
         .withColumn("base", F.col("block") * width - context)
-        .withColumn("ms", _checked(F.col("ms"), F.col("base"), key))
+        .withColumn("ms", _checked(F.col("ms"), F.col("base"), key, template))
         .withColumn("salt", (F.col("block") % HEAD_SALTS).cast("int"))
     )
     # Their leading system run, bounded by one block and copied to a few salts so that the
@@ -440,9 +459,22 @@ def expand_nested(
     width: int = DEFAULT_WIDTH,
     cfg: PrepConfig = PrepConfig(),
 ) -> DataFrame:
-    """Expansion of nested conversations (keys, messages array<struct<role, text>>)."""
-    blocks = nested_blocks(df, keys, budget, template, vocab, width)
-    return expand_blocks(blocks, keys, budget, template, vocab, cfg)
+    """Expansion of nested conversations (keys, messages array<struct<role, text>>).
+
+    In the harmony family, conversations whose lengths do not add up take the exact path.
+    """
+
+    def additive(rows: DataFrame) -> DataFrame:
+        blocks = nested_blocks(rows, keys, budget, template, vocab, width)
+        return expand_blocks(blocks, keys, budget, template, vocab, cfg)
+
+    if not template.harmony:
+        return additive(df)
+    if vocab is None:
+        raise ValueError("the harmony family needs a vocabulary")
+    late = late_prefix(F.col("messages"))
+    rest = expand_exact(df.where(late), keys, budget, window_texts_encoder(vocab), template, cfg)
+    return additive(df.where(~late)).unionByName(rest)
 
 
 def expand_exact(
