@@ -71,14 +71,15 @@ def logit_rows(seed, n, vocab=11):
 SCHEMA = "sample_id long, pos int, student array<double>, teacher array<double>, label int"
 
 
-def test_all_divergences_match_numpy(spark):
+@pytest.mark.parametrize("engine", ["arrow", "expression"])
+def test_all_divergences_match_numpy(spark, engine):
     rows = logit_rows(0, 12)
     tau = D.default_temperature()
     per = []
     for a, b in zip(rows, rows[1:]):
         mask = int(b[4] != -100)
         per.append((mask, numpy_scores(np.array(a[2]), np.array(a[3]), b[4] if mask else 0, mask, tau)))
-    got = D.divergence_all(spark.createDataFrame(rows, SCHEMA)).first().asDict()
+    got = D.divergence_all(spark.createDataFrame(rows, SCHEMA), engine=engine).first().asDict()
     for kind in D.KINDS:
         values = [(m, v[kind]) for m, v in per]
         if kind == "dkd":
@@ -86,15 +87,17 @@ def test_all_divergences_match_numpy(spark):
         else:
             want = sum(v for m, v in values if m) / sum(m for m, _ in values)
         assert got[kind] == pytest.approx(want, rel=1e-9), kind
-        assert D.divergence(spark.createDataFrame(rows, SCHEMA), kind).first().value == pytest.approx(want, rel=1e-9)
+    one = D.divergence(spark.createDataFrame(rows, SCHEMA), "js", engine=engine).first().value
+    assert one == pytest.approx(got["js"], rel=1e-12)
 
 
-def test_infinite_logits_count_as_zero(spark):
+@pytest.mark.parametrize("engine", ["arrow", "expression"])
+def test_infinite_logits_count_as_zero(spark, engine):
     rows = logit_rows(1, 3)
     rows[0][2][4] = -math.inf
     rows[1][3][2] = -math.inf
     rows = [(*r[:4], 3) for r in rows]
-    got = D.score_positions(spark.createDataFrame(rows, SCHEMA), {k: {} for k in ("fkl", "rkl", "tvd", "js", "sfkl", "srkl")}).orderBy("pos").collect()
+    got = D.score_positions(spark.createDataFrame(rows, SCHEMA), {k: {} for k in ("fkl", "rkl", "tvd", "js", "sfkl", "srkl")}, engine=engine).orderBy("pos").collect()
     for row, r in zip(got, rows):
         want = numpy_scores(np.array(r[2]), np.array(r[3]), 3, 1, 2.0)
         for kind in ("fkl", "rkl", "tvd", "js", "sfkl", "srkl"):

@@ -1,7 +1,7 @@
 """Teacher/student divergences over a table of recorded logits.
 
 Input row: ``sample_id, pos, student array, teacher array, label``. A position is scored by
-array expressions and only the resulting numbers are aggregated, with partial sums before
+itself and only the resulting numbers are aggregated, with partial sums before
 the shuffle. Pairing a position with the label after it is an equi-join on the unique key
 (sample_id, pos), so one very long sample is no hot spot; for measures that do not look at
 the label, the join happens after scoring and no logit vector is ever shuffled.
@@ -9,10 +9,12 @@ the label, the join happens after scoring and no logit vector is ever shuffled.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom.config import LABEL_IGNORE
 from turnloom.functions import logit as L
+from turnloom.functions.logit_batches import scorer
 
 # Defaults of the measures.
 JS_BETA = 0.1
@@ -237,43 +239,78 @@ def summary(kind: str, value: Column, mask: Column) -> Column:
     return masked_mean(value, mask)
 
 
-def score_positions(df: DataFrame, kinds: dict[str, dict], keep: tuple[str, ...] = (), early: bool | None = None) -> DataFrame:
+def _scores(kinds: dict[str, dict], labelled: bool, engine: str) -> list[Column]:
+    for kind in kinds:
+        if kind not in KINDS:
+            raise NotImplementedError(kind)
+    if engine == "expression":
+        return [position_score(k, **p).alias(k) for k, p in kinds.items()]
+    if engine != "arrow":
+        raise ValueError(f"unknown engine {engine!r}")
+    params = {k: ({"tau": default_temperature(), **p} if k == "ctkd" else p) for k, p in kinds.items()}
+    fn = scorer(params)
+    result = "struct<" + ",".join(f"{k}:double" for k in params) + ">"
+    if labelled:
+
+        @F.arrow_udf(result)
+        def score(student: pa.Array, teacher: pa.Array, label: pa.Array, mask: pa.Array) -> pa.Array:
+            return fn(student, teacher, label, mask)
+
+        packed = score("student", "teacher", "next_label", "mask")
+    else:
+
+        @F.arrow_udf(result)
+        def score(student: pa.Array, teacher: pa.Array) -> pa.Array:
+            return fn(student, teacher)
+
+        packed = score("student", "teacher")
+    return [packed[k].alias(k) for k in params]
+
+
+def score_positions(df: DataFrame, kinds: dict[str, dict], keep: tuple[str, ...] = (), engine: str = "arrow") -> DataFrame:
     """(keep, sample_id, pos, mask, one column per measure).
 
-    ``early`` joins labels before scoring; it is needed only when a labelled measure is asked for.
+    Labels are joined before scoring only when a labelled measure is asked for. ``engine``
+    is ``arrow`` (matrix arithmetic over Arrow batches) or ``expression`` (array expressions
+    in the JVM); both give the same numbers.
     """
-    early = any(k in LABELLED for k in kinds) if early is None else early
+    labelled = any(k in LABELLED for k in kinds)
     base = ["sample_id", "pos", *keep]
-    scores = [position_score(k, **p).alias(k) for k, p in kinds.items()]
-    if early:
-        return with_distributions(align(df)).select(*base, "mask", *scores)
-    narrow = with_distributions(df).select(*base, *scores)
+    prepared = with_distributions if engine == "expression" else (lambda d: d)
+    scores = _scores(kinds, labelled, engine)
+    if labelled:
+        return prepared(align(df)).select(*base, "mask", *scores)
+    narrow = prepared(df).select(*base, *scores)
     return narrow.join(next_labels(df).select("sample_id", "pos", "mask"), ["sample_id", "pos"])
 
 
-def divergence(df: DataFrame, kind: str, by: tuple[str, ...] = (), **params) -> DataFrame:
+def divergence(df: DataFrame, kind: str, by: tuple[str, ...] = (), engine: str = "arrow", **params) -> DataFrame:
     """One measure as a masked mean, over everything or per ``by`` group."""
     if kind == "sft":
         kind = "lm"
-    scored = score_positions(df, {kind: params}, tuple(c for c in by if c != "sample_id"))
+    scored = score_positions(df, {kind: params}, tuple(c for c in by if c != "sample_id"), engine)
     return scored.groupBy(*by).agg(summary(kind, F.col(kind), F.col("mask")).alias("value"))
 
 
-def divergence_all(df: DataFrame, by: tuple[str, ...] = (), params: dict[str, dict] | None = None) -> DataFrame:
+def divergence_all(
+    df: DataFrame, by: tuple[str, ...] = (), params: dict[str, dict] | None = None, engine: str = "arrow"
+) -> DataFrame:
     """Every measure from one scan of the logits."""
     params = params or {}
     kinds = {k: params.get(k, {}) for k in KINDS}
-    scored = score_positions(df, kinds, tuple(c for c in by if c != "sample_id"))
+    scored = score_positions(df, kinds, tuple(c for c in by if c != "sample_id"), engine)
     return scored.groupBy(*by).agg(*[summary(k, F.col(k), F.col("mask")).alias(k) for k in KINDS])
 
 
-def combine(df: DataFrame, kind: str, ratio: float = 1.0, by: tuple[str, ...] = (), **params) -> DataFrame:
+def combine(
+    df: DataFrame, kind: str, ratio: float = 1.0, by: tuple[str, ...] = (), engine: str = "arrow", **params
+) -> DataFrame:
     """lm_loss, distil_loss and loss = (1-ratio)*lm + ratio*distil. ``sft`` has no distil part."""
     groups = tuple(c for c in by if c != "sample_id")
     if kind == "sft":
-        lm = divergence(df, "lm", by).withColumnRenamed("value", "lm_loss")
+        lm = divergence(df, "lm", by, engine).withColumnRenamed("value", "lm_loss")
         return lm.withColumn("distil_loss", F.lit(None).cast("double")).withColumn("loss", F.col("lm_loss"))
-    scored = score_positions(df, {"lm": {}, kind: params}, groups)
+    scored = score_positions(df, {"lm": {}, kind: params}, groups, engine)
     agg = scored.groupBy(*by).agg(
         summary("lm", F.col("lm"), F.col("mask")).alias("lm_loss"),
         summary(kind, F.col(kind), F.col("mask")).alias("distil_loss"),

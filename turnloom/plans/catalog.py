@@ -657,6 +657,13 @@ for _name, (_kind, _params) in MEASURES.items():
     QUERIES[_name] = partial(measure, _kind, _params)
 
 
+@query
+def div_expressions(spark, sf):
+    """All measures once more as array expressions in the JVM."""
+    out = D.divergence_all(fx.logits(spark, sf), by=("sample_id",), engine="expression")
+    return out.select("sample_id", *[r6(k).alias(k) for k in D.KINDS])
+
+
 @query
 def logit_align(spark, sf):
     return D.align(fx.logits(spark, sf)).select(

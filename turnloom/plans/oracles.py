@@ -594,10 +594,11 @@ for _k, _src, _v in (
     ("k_dkd", "dkd", f"round(sum({DKD}) / count(*), 6) + 0.0 AS dkd"),
 ):
     cte(_k, (_src,), f"SELECT sample_id, {_v} FROM {_src} GROUP BY sample_id")
-oracle(
-    "div_dispatch", ("k_d", "k_gap", "k_temp", "k_int", "k_dkd"),
-    "SELECT * FROM k_d JOIN k_gap USING (sample_id) JOIN k_temp USING (sample_id) JOIN k_int USING (sample_id) JOIN k_dkd USING (sample_id)",
-)
+for _name in ("div_dispatch", "div_expressions"):
+    oracle(
+        _name, ("k_d", "k_gap", "k_temp", "k_int", "k_dkd"),
+        "SELECT * FROM k_d JOIN k_gap USING (sample_id) JOIN k_temp USING (sample_id) JOIN k_int USING (sample_id) JOIN k_dkd USING (sample_id)",
+    )
 
 # --- run logs ------------------------------------------------------------------------
 
