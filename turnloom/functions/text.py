@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Role vocabulary, think-span and transcript patterns, punctuation set.
@@ -42,6 +44,11 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?U){_WS}+", " "))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Map a key column through a small literal dictionary; null when absent."""
     pairs = [F.lit(x) for item in mapping.items() for x in item]
@@ -96,18 +103,17 @@ def visible_text(raw: Column) -> Column:
             strip(F.regexp_replace(body, SPECIAL_TOKEN, "")).alias("body"),
         ),
     )
-    spoken = F.filter(pieces, lambda p: p["body"] != "")
-    final = F.filter(spoken, lambda p: p["channel"] == "final")
     bare = F.regexp_replace(F.regexp_replace(raw, SPECIAL_TOKEN, ""), CHANNEL_WORDS, "")
 
     def joined(parts: Column) -> Column:
         return strip(F.array_join(F.transform(parts, lambda p: p["body"]), "\n"))
 
-    return (
-        F.when(F.size(final) > 0, joined(final))
-        .when(F.size(spoken) > 0, joined(spoken))
-        .otherwise(strip(bare))
-    )
+    def choose(spoken: Column) -> Column:
+        final = F.filter(spoken, lambda p: p["channel"] == "final")
+        picked = F.when(F.exists(spoken, lambda p: p["channel"] == "final"), final).otherwise(spoken)
+        return F.when(F.size(spoken) > 0, joined(picked)).otherwise(strip(bare))
+
+    return bind(F.filter(pieces, lambda p: p["body"] != ""), choose)
 
 
 def norm_answer(text: Column) -> Column:

@@ -1,19 +1,19 @@
 """Order-dependent run statistics without putting a whole run into one task.
 
 A run is cut into blocks of consecutive steps. Running sums and maxima add a block's own
-window to the totals of earlier blocks. The schedule recursions are maps
-``x -> min(hi, max(lo, c*x + d))`` with ``c >= 0``; such maps compose to a map of the same
-kind, so a block is first composed to one small summary, the summaries of a run are walked in
-order, and each block then starts from the state its predecessors leave behind.
+window to the totals of earlier blocks. For the schedule a block is first composed to one
+small summary, the summaries of a run are walked in order, and each block then starts from
+the state its predecessors leave behind.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnloom.functions.schedule import Schedule
+
 WIDTH = 16_384
-CHUNK = 128
-INF = float("inf")
 
 
 def _block(order: str, width: int) -> Column:
@@ -53,63 +53,16 @@ def running(
     )
 
 
-# --- clamped affine maps -------------------------------------------------------------
-
-
-def clamp_map(c, d, lo=-INF, hi=INF) -> Column:
-    def as_col(x) -> Column:
-        return (x if isinstance(x, Column) else F.lit(float(x))).cast("double")
-
-    return F.struct(as_col(c).alias("c"), as_col(d).alias("d"), as_col(lo).alias("lo"), as_col(hi).alias("hi"))
-
-
-IDENTITY = (1.0, 0.0)
-
-
-def apply_map(f: Column, x: Column) -> Column:
-    return F.least(f["hi"], F.greatest(f["lo"], F.when(f["c"] == 0, f["d"]).otherwise(f["c"] * x + f["d"])))
-
-
-def compose(first: Column, then: Column) -> Column:
-    return clamp_map(
-        first["c"] * then["c"],
-        F.when(then["c"] == 0, then["d"]).otherwise(then["c"] * first["d"] + then["d"]),
-        apply_map(then, first["lo"]),
-        apply_map(then, first["hi"]),
-    )
-
-
-def _composed(items: Column) -> Column:
-    return F.aggregate(items, clamp_map(*IDENTITY), compose)
-
+def _rows(values, fields: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.Array:
+    """Tuples as one Arrow struct per row, or one list of structs when a row holds several."""
+    kind = pa.struct(list(zip(fields, kinds)))
 
-def _walk(maps: Column, start: Column) -> Column:
-    """State before and after every map of a short list."""
-    pair = "array<struct<before:double,after:double>>"
-    return F.aggregate(
-        maps,
-        F.struct(start.cast("double").alias("x"), F.array().cast(pair).alias("out")),
-        lambda a, f: F.struct(
-            apply_map(f, a["x"]).alias("x"),
-            F.concat(a["out"], F.array(F.struct(a["x"].alias("before"), apply_map(f, a["x"]).alias("after")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-
-
-def states(maps: Column, start: Column, chunk: int = CHUNK) -> Column:
-    """State before and after every map, list walked in chunks so that appending stays cheap."""
-    last = F.greatest(F.ceil(F.size(maps) / chunk) - 1, F.lit(0)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(maps, k * chunk + 1, F.lit(chunk)))
-    entered = F.transform(
-        F.array(chunks),
-        lambda cs: F.zip_with(cs, _walk(F.transform(cs, _composed), start), lambda c, s: _walk(c, s["before"])),
-    )
-    return F.flatten(F.flatten(entered))
+    def named(t: tuple) -> dict:
+        return dict(zip(fields, t))
 
-
-def sigmoid(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+    if values and isinstance(values[0], list):
+        return pa.array([[named(t) for t in row] for row in values], pa.list_(kind))
+    return pa.array([named(t) for t in values], kind)
 
 
 def interp_schedule(
@@ -127,91 +80,57 @@ def interp_schedule(
 ) -> DataFrame:
     """Interpolation weight t, momentum and delta after each logged loss of a run.
 
-    The first loss (and any loss after an infinite one) only seeds the comparison.
+    The first loss (and any loss after an infinite one) only seeds the comparison. Spark
+    groups the rows of a block and the few summaries of a run; the recursion inside a group
+    is a short loop.
     """
-    if not (0.0 <= t_start < 1.0 and 0.0 < t_end <= 1.0 and 0.0 <= alpha <= 1.0):
-        raise ValueError("need 0 <= t_start < 1, 0 < t_end <= 1, 0 <= alpha <= 1")
-    target = F.lit(t_start) + F.lit(t_end - t_start) * F.col(step) / F.col(total)
-    item = F.struct(
-        F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"), target.cast("double").alias("target")
-    )
-    blocks = df.groupBy(key, _block(step, width).alias("b")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    plan = Schedule(t_start, t_end, alpha, beta, adaptive)
+    f64, i64 = pa.float64(), pa.int64()
 
-    def momentum_map(before: Column, now: Column) -> Column:
-        seeds = before.isNull() | (F.abs(before) == F.lit(INF))
-        change = (before - now) / (before + F.lit(1e-15))
-        return F.when(seeds, clamp_map(*IDENTITY)).otherwise(clamp_map(beta, F.lit(1.0 - beta) * change))
+    @F.arrow_udf("struct<first:double,last:double,factor:double,addend:double>")
+    def summarise(losses: pa.Array) -> pa.Array:
+        return _rows([plan.momentum_summary(x) for x in losses.to_pylist()], ("first", "last", "factor", "addend"), (f64,) * 4)
 
-    def loss_at(rows: Column, i: Column) -> Column:
-        return F.get(rows, i)["loss"]
+    @F.arrow_udf("array<struct<b:bigint,prev:double,m0:double>>")
+    def enter_momentum(blocks: pa.Array) -> pa.Array:
+        return _rows([plan.entering_momenta(x) for x in blocks.to_pylist()], ("b", "prev", "m0"), (i64, f64, f64))
 
-    # Per block: its first and last loss and the composed map of all rows but the first, whose
-    # predecessor is known only once the blocks of the run are in order.
-    rest = F.transform(
-        F.slice("rows", F.lit(2), F.size("rows")), lambda r, i: momentum_map(loss_at(F.col("rows"), i), r["loss"])
-    )
-    ends = blocks.select(
-        key,
-        F.struct(
-            "b", loss_at(F.col("rows"), F.lit(0)).alias("first"), loss_at(F.col("rows"), F.size("rows") - 1).alias("last"),
-            _composed(rest).alias("f"),
-        ).alias("e"),
-    )
-    summary = ends.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    entering = F.transform("es", lambda e, i: F.when(i > 0, F.get(F.col("es"), i - 1)["last"]))
-    maps = F.zip_with("es", "prev", lambda e, p: compose(momentum_map(p, e["first"]), e["f"]))
-    handed = (
-        summary.withColumn("prev", entering)
-        .withColumn("ms", states(maps, F.lit(0.0)))
-        .select(
-            key,
-            F.inline_outer(
-                F.transform(
-                    "es",
-                    lambda e, i: F.struct(
-                        e["b"].alias("b"), F.get(F.col("prev"), i).alias("prev"), F.get(F.col("ms"), i)["before"].alias("m0")
-                    ),
-                )
-            ),
-        )
-    )
+    @F.arrow_udf("struct<c:double,d:double,lo:double,hi:double>")
+    def block_map(losses: pa.Array, targets: pa.Array, prev: pa.Array, m0: pa.Array) -> pa.Array:
+        args = zip(losses.to_pylist(), targets.to_pylist(), prev.to_pylist(), m0.to_pylist())
+        return _rows([plan.block_map(*x) for x in args], ("c", "d", "lo", "hi"), (f64,) * 4)
 
-    def moved(seeds: Column, gain: Column, goal: Column) -> Column:
-        step_map = clamp_map(F.lit(1.0) - gain, gain, goal, t_end) if adaptive else clamp_map(0.0, goal)
-        return F.when(seeds, clamp_map(*IDENTITY)).otherwise(step_map)
+    @F.arrow_udf("array<struct<b:bigint,t0:double>>")
+    def enter_t(blocks: pa.Array) -> pa.Array:
+        return _rows([plan.entering_t(x) for x in blocks.to_pylist()], ("b", "t0"), (i64, f64))
 
-    before = F.transform(
-        "rows", lambda r, i: F.when(i > 0, loss_at(F.col("rows"), i - 1)).otherwise(F.col("prev"))
-    )
-    with_t = (
-        blocks.join(handed, [key, "b"])
-        .withColumn("before", before)
-        .withColumn("m", states(F.zip_with("before", "rows", lambda p, r: momentum_map(p, r["loss"])), F.col("m0")))
-        .withColumn("seeds", F.transform("before", lambda p: p.isNull() | (F.abs(p) == F.lit(INF))))
-        .withColumn("gain", F.transform("m", lambda s: F.lit(float(alpha)) * sigmoid(s["after"])))
-        .withColumn(
-            "f",
-            F.transform("rows", lambda r, i: moved(F.get(F.col("seeds"), i), F.get(F.col("gain"), i), r["target"])),
-        )
-        .drop("before", "prev", "m0")
+    @F.arrow_udf("array<struct<t:double,momentum:double,delta_t:double>>")
+    def walk(losses: pa.Array, targets: pa.Array, prev: pa.Array, m0: pa.Array, t0: pa.Array) -> pa.Array:
+        args = zip(losses.to_pylist(), targets.to_pylist(), prev.to_pylist(), m0.to_pylist(), t0.to_pylist())
+        return _rows([list(plan.walk(*x)) for x in args], ("t", "momentum", "delta_t"), (f64,) * 3)
+
+    goal = F.lit(t_start) + F.lit(t_end - t_start) * F.col(step) / F.col(total)
+    item = F.struct(
+        F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"), goal.cast("double").alias("target")
     )
-    per_run = with_t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", _composed(F.col("f")).alias("f")))).alias("fs"))
-    entered = per_run.withColumn("ts", states(F.transform("fs", lambda x: x["f"]), F.lit(float(t_start)))).select(
-        key,
-        F.inline_outer(F.transform("fs", lambda x, i: F.struct(x["b"].alias("b"), F.get(F.col("ts"), i)["before"].alias("t0")))),
+    blocks = (
+        df.groupBy(key, _block(step, width).alias("b"))
+        .agg(F.array_sort(F.collect_list(item)).alias("r"))
+        .select(key, "b", F.col("r.step").alias("steps"), F.col("r.loss").alias("losses"), F.col("r.target").alias("targets"))
     )
-    done = with_t.join(entered, [key, "b"]).withColumn("t", states(F.col("f"), F.col("t0")))
-
-    def result(r: Column, i: Column) -> Column:
-        t = F.get(F.col("t"), i)
-        return F.struct(
-            r["step"].alias(step),
-            t["after"].alias("t"),
-            F.get(F.col("m"), i)["after"].alias("momentum"),
-            F.when(~F.get(F.col("seeds"), i), F.get(F.col("gain"), i) * (1 - t["before"])).alias("delta_t"),
-        )
 
-    return done.select(key, F.inline_outer(F.transform("rows", result)))
+    def in_order(rows: DataFrame, summary: Column) -> DataFrame:
+        flat = rows.select(key, "b", summary.alias("e")).select(key, F.struct("b", "e.*").alias("e"))
+        return flat.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+
+    handed = in_order(blocks, summarise("losses")).select(key, F.inline_outer(enter_momentum("es")))
+    ready = blocks.join(handed, [key, "b"])
+    entered = in_order(ready, block_map("losses", "targets", "prev", "m0")).select(key, F.inline_outer(enter_t("es")))
+    walked = ready.join(entered, [key, "b"]).select(
+        key, "steps", walk("losses", "targets", "prev", "m0", "t0").alias("w")
+    )
+    rows = walked.select(key, F.inline_outer(F.arrays_zip("steps", "w")))
+    return rows.select(key, F.col("steps").alias(step), "w.t", "w.momentum", "w.delta_t")
 
 
 def cosine_curriculum(epoch: Column, lambda_max: float = 1.0, lambda_min: float = 0.0, num_loops: int = 10) -> Column:

@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom.config import Budget, PrepConfig
 from turnloom.functions import arrays as A
-from turnloom.functions.text import PREFIX_ROLES, apply_thinking, words
+from turnloom.functions.text import PREFIX_ROLES, words
 from turnloom.functions.tokens import Vocabulary
 from turnloom.operators.template import GENERIC, ROLES, Template, chat_pair, prefix_length
 
-DEFAULT_WIDTH = 4096
+DEFAULT_WIDTH = 2048
 HEAD_SALTS = 32
 
 
@@ -57,8 +57,15 @@ def _id_array(ids: list[int]) -> Column:
     return F.array(*map(F.lit, ids)).cast("array<int>")
 
 
-def _entry(turn: Column, role: Column, text: Column, n: Column, ids: Column | None, template: Template, vocab) -> Column:
-    """What the expansion needs to know about one message."""
+def _entry(
+    turn: Column, role: Column, text: Column, n: Column, ids: Column | None, template: Template, vocab, budget: Budget
+) -> Column:
+    """What the expansion needs to know about one message, bounded by the budget.
+
+    A sample never looks further back than ``max_length`` ids, so a longer message keeps only
+    its last ids (its full length stays in ``n``); a response over ``max_output`` gives no
+    sample and needs no text.
+    """
     cost = _int_map({r: template.cost(r) for r in ROLES}, role)
     fields = [
         turn.cast("long").alias("turn"),
@@ -71,11 +78,14 @@ def _entry(turn: Column, role: Column, text: Column, n: Column, ids: Column | No
         marked = F.concat(
             _id_map(template.prefix, template, vocab, role), ids, _id_map(template.suffix, template, vocab, role)
         )
-        fields += [marked.alias("ids"), F.when(role == "assistant", text).alias("response")]
+        if not template.harmony:
+            marked = A.tail(marked, budget.max_length + max(template.cost(r) for r in ROLES))
+        wanted = (role == "assistant") & (n <= budget.max_output)
+        fields += [marked.alias("ids"), F.when(wanted, text).alias("response")]
     return F.struct(*fields)
 
 
-def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabulary | None) -> DataFrame:
+def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabulary | None, budget: Budget) -> DataFrame:
     """(key, turn, role, entry) of a turn table with ``turn``, ``role``, ``text``."""
     text = F.coalesce("text", F.lit(""))
     split = turns.select(key, "turn", "role", text.alias("text"), words(text).alias("words"))
@@ -83,7 +93,7 @@ def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabula
         split = split.withColumn("ids", vocab.ids(F.col("words")))
     entry = _entry(
         F.col("turn"), F.col("role"), F.col("text"), F.size("words"),
-        F.col("ids") if vocab is not None else None, template, vocab,
+        F.col("ids") if vocab is not None else None, template, vocab, budget,
     )
     return split.select(key, F.col("turn").cast("long").alias("turn"), "role", entry.alias("entry"))
 
@@ -135,7 +145,7 @@ def turn_blocks(
     if long is None:
         top = turns.agg(F.max("turn").alias("t")).first()["t"]
         long = top is not None and top >= width
-    short = encode_turns(turns.where(F.col("turn") < width) if long else turns, key, template, vocab)
+    short = encode_turns(turns.where(F.col("turn") < width) if long else turns, key, template, vocab, budget)
     start = (
         short.groupBy(key)
         .agg(F.array_sort(F.collect_list("entry")).alias("ms"))
@@ -155,7 +165,7 @@ def turn_blocks(
     # Blocks after the first: own turns plus the last `context` turns of the block before.
     block = F.floor(F.col("turn") / width).cast("long")
     is_context = F.col("turn") % width >= width - context
-    rows = encode_turns(turns.where(F.col("turn") >= width - context), key, template, vocab)
+    rows = encode_turns(turns.where(F.col("turn") >= width - context), key, template, vocab, budget)
     later = (
         rows.select(
             key,
@@ -176,7 +186,7 @@ def turn_blocks(
     long_keys = turns.where(F.col("turn") >= width).select(key).distinct()
     run = (
         encode_turns(
-            turns.where((F.col("turn") < width) & F.col("role").isin(*PREFIX_ROLES)), key, template, vocab
+            turns.where((F.col("turn") < width) & F.col("role").isin(*PREFIX_ROLES)), key, template, vocab, budget
         )
         .join(long_keys, key, "left_semi")
         .groupBy(key)
@@ -222,7 +232,7 @@ def nested_blocks(
         "m",
         lambda m, i: _entry(
             i, m["role"], m["text"], F.size(F.get(F.col("w"), i)),
-            F.get(F.col("ids"), i) if vocab is not None else None, template, vocab,
+            F.get(F.col("ids"), i) if vocab is not None else None, template, vocab, budget,
         ),
     )
     rows = (
@@ -582,7 +592,3 @@ def expand_exact(
 def window_texts_encoder(vocab: Vocabulary) -> Callable[[Column], Column]:
     """The word tokenizer in the shape :func:`expand_exact` asks for."""
     return lambda texts: vocab.nested_ids(F.transform(texts, words))
-
-
-def response_text(text: Column, cfg: PrepConfig) -> Column:
-    return apply_thinking(text, cfg.enable_thinking)

@@ -54,6 +54,12 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def wide6(c: Column | str) -> Column:
+    """As :func:`r6`, but numbers too large to have six decimals stay as they are."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(x) < 1e9, r6(x)).otherwise(x)
+
+
 def vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
     return Vocabulary.fit(fx.turns(spark, sf), max_size=VOCAB_SIZE)
 
@@ -697,7 +703,7 @@ def div_dispatch(spark, sf):
 @query
 def interp_schedule(spark, sf):
     out = S.interp_schedule(fx.runlog(spark, sf))
-    return out.select("run", "step", r6("t").alias("t"), r6("momentum").alias("momentum"), r6("delta_t").alias("delta_t"))
+    return out.select("run", "step", r6("t").alias("t"), wide6("momentum").alias("momentum"), r6("delta_t").alias("delta_t"))
 
 
 @query
@@ -836,4 +842,4 @@ def stream_interp_schedule(spark, sf):
     folder = sinks.work_dir(spark, "runlog")
     log.write.parquet(folder)
     emitted = jobs.run_to_table(jobs.schedule_stream(jobs.read_stream(spark, folder, log.schema)), "schedule")
-    return emitted.select("run", "step", r6("t").alias("t"), r6("momentum").alias("momentum"), "late")
+    return emitted.select("run", "step", r6("t").alias("t"), wide6("momentum").alias("momentum"), "late")

@@ -155,7 +155,7 @@ def runlog(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("value").alias("loss"), unit_hash(0, F.col("event_id")).alias("r"), "event_id",
     )
-    steps = running(e, "run", "us", sums={"step": F.lit(1)}, width=24 * RUN_HOUR)
+    steps = running(e, "run", "us", sums={"step": F.lit(1)}, width=RUN_HOUR)
     totals = e.groupBy("run").agg(F.count("*").alias("total"))
     return steps.join(totals, "run").select("run", F.col("step").cast("long").alias("step"), "total", "loss", "r", "event_id")
 

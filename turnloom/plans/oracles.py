@@ -617,15 +617,15 @@ cte(
     f"""SELECT run, step, total, loss AS prev, CAST(0 AS DOUBLE) AS m, CAST(0.4 AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS delta FROM rl WHERE step = 0
     UNION ALL SELECT run, step, total, loss, m2, least(1.0, greatest(0.4 + 0.6 * CAST(step AS DOUBLE) / total, t + 5e-4 * {_sig} * (1 - t))),
     5e-4 * {_sig} * (1 - t) FROM (SELECT r.run, r.step, r.total, r.loss, f.t,
-      0.99 * f.m + 0.01 * ((f.prev - r.loss) / (f.prev + 1e-15)) AS m2 FROM sched f JOIN rl r ON r.run = f.run AND r.step = f.step + 1)""",
+      CAST(0.99 AS DOUBLE) * f.m + (1 - CAST(0.99 AS DOUBLE)) * ((f.prev - r.loss) / (f.prev + 1e-15)) AS m2 FROM sched f JOIN rl r ON r.run = f.run AND r.step = f.step + 1)""",
 )
 oracle(
     "interp_schedule", ("sched",),
-    "SELECT run, step, round(t, 6) + 0.0 AS t, round(m, 6) + 0.0 AS momentum, round(delta, 6) + 0.0 AS delta_t FROM sched",
+    "SELECT run, step, round(t, 6) + 0.0 AS t, CASE WHEN abs(m) < 1e9 THEN round(m, 6) + 0.0 ELSE m END AS momentum, round(delta, 6) + 0.0 AS delta_t FROM sched",
 )
 oracle(
     "stream_interp_schedule", ("sched",),
-    "SELECT run, step, round(t, 6) + 0.0 AS t, round(m, 6) + 0.0 AS momentum, false AS late FROM sched",
+    "SELECT run, step, round(t, 6) + 0.0 AS t, CASE WHEN abs(m) < 1e9 THEN round(m, 6) + 0.0 ELSE m END AS momentum, false AS late FROM sched",
 )
 oracle(
     "cosine_curriculum", ("rl",),

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from turnloom.config import Budget
+from turnloom.functions.schedule import Schedule
 from turnloom.functions.tokens import Vocabulary
 from turnloom.operators.sampling import CAPACITY
 from turnloom.operators.template import GENERIC, Template
@@ -108,29 +109,21 @@ class _Schedule(StatefulProcessor):
         [StructField("step", LongType())] + [StructField(n, DoubleType()) for n in ("loss", "momentum", "t")]
     )
 
-    def __init__(self, t_start: float, t_end: float, alpha: float, beta: float) -> None:
-        self.params = (t_start, t_end, alpha, beta)
+    def __init__(self, plan: Schedule) -> None:
+        self.plan = plan
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import math
-
-        t_start, t_end, alpha, beta = self.params
-        step, loss, momentum, t = self.last.get() if self.last.exists() else (-1, math.inf, 0.0, t_start)
-        arrived = pd.concat(list(rows)).sort_values("step")
+        step, loss, momentum, t = self.last.get() if self.last.exists() else (-1, None, 0.0, self.plan.t_start)
         out = []
-        for row in arrived.itertuples(index=False):
+        for row in pd.concat(list(rows)).sort_values("step").itertuples(index=False):
             if row.step <= step:
                 out.append((int(key[0]), int(row.step), None, None, True))
                 continue
-            if not math.isinf(loss):
-                change = (loss - row.loss) / (loss + 1e-15)
-                momentum = beta * momentum + (1 - beta) * change
-                gain = alpha / (1.0 + math.exp(-momentum))
-                target = t_start + (t_end - t_start) * row.step / row.total
-                t = min(t_end, max(target, t + gain * (1 - t)))
+            target = self.plan.target(row.step, row.total)
+            ((t, momentum, _),) = self.plan.walk([float(row.loss)], [target], loss, momentum, t)
             step, loss = int(row.step), float(row.loss)
             out.append((int(key[0]), step, t, momentum, False))
         self.last.update((step, loss, momentum, t))
@@ -140,16 +133,14 @@ class _Schedule(StatefulProcessor):
         pass
 
 
-def schedule_stream(
-    stream: DataFrame, t_start: float = 0.4, t_end: float = 1.0, alpha: float = 5e-4, beta: float = 0.99
-) -> DataFrame:
+def schedule_stream(stream: DataFrame, plan: Schedule = Schedule()) -> DataFrame:
     """Interpolation weight per run over a stream of (run, step, total, loss).
 
     A step at or before the last folded one is reported as late and not folded. The rows of
     one run in one micro-batch are sorted together; ``maxFilesPerTrigger`` bounds them.
     """
     return stream.groupBy("run").transformWithStateInPandas(
-        _Schedule(t_start, t_end, alpha, beta),
+        _Schedule(plan),
         "run long, step long, t double, momentum double, late boolean",
         "Append",
         "None",
