@@ -26,12 +26,19 @@ def unit_hash(seed: int, key: Column) -> Column:
 
 
 def _offsets(df: DataFrame) -> DataFrame:
-    """Per bucket: rows in it and rows before it. At most 16**HASH_DIGITS rows."""
+    """Per bucket: rows in it, rows before it and rows of the whole table.
+
+    There are at most 16**HASH_DIGITS buckets, so one task sees no more than that many rows.
+    """
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         df.groupBy("_bucket")
         .agg(F.count("*").alias("_size"))
-        .select("_bucket", "_size", (F.sum("_size").over(running) - F.col("_size")).alias("_before"))
+        .select(
+            "_bucket", "_size", (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
+            F.sum("_size").over(everything).alias("_total"),
+        )
     )
 
 
@@ -42,9 +49,9 @@ def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Add ``rank``: the row's 0-based place in the seeded order. ``key`` must be unique."""
+    """Add ``rank``, the row's 0-based place in the seeded order, and ``_total``. ``key`` must be unique."""
     rows = _bucketed(df, key, seed)
-    offsets = _offsets(_bucketed(df.select(key), key, seed)).select("_bucket", "_before")
+    offsets = _offsets(_bucketed(df.select(key), key, seed)).select("_bucket", "_before", "_total")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
     return (
         rows.withColumn("_within", within)
@@ -55,7 +62,7 @@ def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def ordered_rank(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """Add ``rank`` in ascending order of a unique numeric key (no shuffling of the order).
+    """Add ``rank`` in ascending order of a unique numeric key, and ``_total``.
 
     Buckets are key ranges between approximate quantiles; their count is fixed.
     """
@@ -71,7 +78,7 @@ def ordered_rank(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
         )
 
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    offsets = _offsets(bucketed(df.select(key))).select("_bucket", "_before")
+    offsets = _offsets(bucketed(df.select(key))).select("_bucket", "_before", "_total")
     return (
         bucketed(df)
         .withColumn("_within", within)
@@ -99,8 +106,7 @@ def split_exact(df: DataFrame, key: str, size: int, ratio: float = 0.02, seed: i
     key. The wide rows are read once and never shuffled.
     """
     keys = _bucketed(df.select(key), key, seed)
-    k = eval_size(df.select(F.count("*").alias("n")).scalar(), size, ratio)
-    buckets = _offsets(keys).withColumn("_k", k)
+    buckets = _offsets(keys).withColumn("_k", eval_size(F.col("_total"), size, ratio))
     edge = buckets.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_size") > F.col("_k")))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
     last = (
@@ -135,12 +141,10 @@ def batch_ids(df: DataFrame, key: str, batch_size: int, seed: int | None = 42, d
     """
     ranked = ordered_rank(df, key) if seed is None else shuffled_rank(df, key, seed)
     if drop_last:
-        # A count reads no column; parquet answers it from its footers.
-        n = df.select(F.count("*").alias("n")).scalar()
-        ranked = ranked.where(F.col("rank") < n - n % batch_size)
+        ranked = ranked.where(F.col("rank") < F.col("_total") - F.col("_total") % batch_size)
     return ranked.select(
         "*", F.floor(F.col("rank") / batch_size).alias("batch_id"), (F.col("rank") % batch_size).cast("int").alias("slot")
-    ).drop("rank")
+    ).drop("rank", "_total")
 
 
 def limit_batches(df: DataFrame, limit: float) -> DataFrame:
