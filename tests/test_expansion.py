@@ -106,8 +106,9 @@ def test_paths_agree_with_loop_on_long_conversations(spark, budget):
     assert collected(turns) == want
     nested = W.expand_nested(nested_table(spark, convs), ["conv_id"], budget, vocab=VOCAB, width=20)
     assert collected(nested) == want
-    exact = W.expand_exact(nested_table(spark, convs), ["conv_id"], budget, W.window_texts_encoder(VOCAB), max_token_bytes=8)
-    assert collected(exact) == want
+    for bound in ({"max_token_bytes": 8}, {"min_message_tokens": 2}):
+        exact = W.expand_exact(nested_table(spark, convs), ["conv_id"], budget, W.window_texts_encoder(VOCAB), **bound)
+        assert collected(exact) == want
 
 
 def test_one_very_long_conversation_is_spread_over_blocks(spark):

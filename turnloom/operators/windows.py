@@ -495,13 +495,19 @@ def expand_exact(
     template: Template = GENERIC,
     cfg: PrepConfig = PrepConfig(),
     max_token_bytes: int | None = None,
+    min_message_tokens: int | None = None,
 ) -> DataFrame:
     """Expansion for tokenizers whose length is not additive over messages.
 
     Every candidate window is rendered and tokenised. ``encode`` maps array<string> to
-    array<array<int>>. With ``max_token_bytes``, the longest text one token can stand for,
-    windows that cannot fit are left out before tokenising; the result is the same.
+    array<array<int>>. Two facts about the tokenizer, where known, leave out windows that
+    cannot fit before they are rendered, with the same result: ``max_token_bytes``, the
+    longest text one token can stand for, and ``min_message_tokens``, the fewest tokens one
+    rendered message can have. Give one of them for corpora with very long conversations.
     """
+    # Think spans shrink the text before it is counted, so no bound holds for them; a merged
+    # prefix has fewer markers than messages.
+    bounded = cfg.enable_thinking != "false"
     msgs = F.transform(
         "messages", lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("text"))
     )
@@ -530,15 +536,17 @@ def expand_exact(
 
     def candidates(i: Column) -> Column:
         legal = F.filter("starts", lambda s: s <= i)
-        if max_token_bytes is not None:
+        nearest = F.array_max(legal)
+        if bounded and min_message_tokens and not template.harmony:
+            legal = F.filter(legal, lambda s: ((i - s + 1) * min_message_tokens <= budget.max_length) | (s == nearest))
+        if bounded and max_token_bytes:
             cap = budget.max_length * max_token_bytes
 
             def small(s: Column) -> Column:
                 size = F.aggregate(window(s, i), F.lit(0), lambda a, m: a + F.octet_length(m["text"]))
-                return (size <= cap) | (s == F.array_max(legal))
+                return (size <= cap) | (s == nearest)
 
-            # Think spans shrink the text before it is counted, so the bound does not hold for them.
-            legal = F.filter(legal, small) if cfg.enable_thinking != "false" else legal
+            legal = F.filter(legal, small)
         return F.transform(legal, lambda s: F.struct(s.alias("start"), F.concat("head", window(s, i)).alias("w")))
 
     picked = rows.select(*keys, "k", F.explode_outer(F.transform(targets, lambda i: F.struct(i.alias("i"), candidates(i).alias("c")))).alias("t"))

@@ -565,7 +565,7 @@ def expand_samples_exact(spark, sf):
     """Rendered and tokenised candidates instead of summed lengths; same rows."""
     encode = W.window_texts_encoder(vocabulary(spark, sf))
     nested = canonical(spark, sf)
-    return sample_rows(W.expand_exact(nested, ["conv_id"], BUDGET, encode))
+    return sample_rows(W.expand_exact(nested, ["conv_id"], BUDGET, encode, min_message_tokens=T.GENERIC.min_cost))
 
 
 @query

@@ -31,8 +31,9 @@ def expand_messages(
     """
     if encode is None and cfg.enable_thinking != "false":
         return expand_nested(df, keys, cfg.budget, template, vocab, cfg=cfg)
+    fewest = template.min_cost if encode is None else None
     encode = encode or window_texts_encoder(vocab)
-    return expand_exact(df, keys, cfg.budget, encode, template, cfg, max_token_bytes)
+    return expand_exact(df, keys, cfg.budget, encode, template, cfg, max_token_bytes, fewest)
 
 
 def prepare(
