@@ -356,7 +356,6 @@ cte(
     CASE WHEN fit IS NULL THEN 'trunc' WHEN fit = first THEN 'full' ELSE 'window' END AS kind,
     list_concat(list_concat(hids, hist), [5]) AS all_prompt, list_concat(list_concat(hids, hist), mids) AS all_full FROM whole))""",
 )
-_MSGS = "SELECT conv_id, turn, role, text, len(ws) AS n FROM w"
 oracle("vocab_build", ("vocab",), "SELECT token, n, id FROM vocab")
 oracle("tokenize", ("msg",), f"SELECT conv_id, turn, {joined('ids')} AS ids FROM msg")
 oracle("token_len", ("w",), "SELECT conv_id, turn, CAST(len(ws) AS BIGINT) AS n FROM w")
@@ -490,11 +489,7 @@ cte(
 )
 
 
-def lse(z: str) -> str:
-    return f"list_max({z}) + ln(list_sum(list_transform({z}, lambda x: exp(x - m_{z}))))"
-
-
-def log_softmax_cte(name: str, source: str, columns: dict[str, str], keep: str = "*") -> None:
+def log_softmax_cte(name: str, source: str, columns: dict[str, str]) -> None:
     """CTE that adds a log-softmax column per (new name -> logit expression)."""
     zs = ", ".join(f"{e} AS z_{n}" for n, e in columns.items())
     ms = ", ".join(f"list_max(z_{n}) AS m_{n}" for n in columns)
