@@ -13,8 +13,9 @@ Steps, each written to the shared folder where it is used twice:
    gathered per key.
 3. One link per id is confirmed on full shingle sets; most groups are complete then.
 4. Keys whose members still lie in different components are compared in full: members meet in blocks of bounded size,
-   only pairs of different components whose sketches agree in at least half of the positions (a pair at the threshold
-   fails that with probability 0.00002) and whose set sizes allow the similarity go on to confirmation.
+   first each with its nearest only, then, where components still differ, every pair once. A pair goes on to
+   confirmation if its sketches agree in at least half of the positions (one at the threshold fails that with
+   probability 0.00002) and its set sizes allow the similarity.
 
 The result is one row per document; copies are never expanded into pairs.
 """
@@ -223,38 +224,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unsettled(reps: DataFrame, label: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs of different components that share a key and agree in half of their minhashes, compared block against block."""
-    hashes, percent, tables = how.hashes, how.percent, how
+def _unsettled(reps: DataFrame, label: DataFrame, how: NearDup, nearest: bool) -> DataFrame:
+    """Pairs of different components that share a key and agree in half of their minhashes, compared block against block.
+
+    With ``nearest`` only the best partner of each member of a block; else every such pair, once: in the first key that
+    the two share, which their minhashes tell.
+    """
+    hashes, percent, tables, rows_ = how.hashes, how.percent, how.tables, how.rows
     named = staged(reps.join(label, "id").select("id", "n", "sig", "label"), "named")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(_matrix(batch.column("sig"), hashes), tables)
+                keys = _keys(_matrix(batch.column("sig"), hashes), how)
                 where = np.repeat(np.arange(batch.num_rows), keys.shape[1])
-                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), *(batch.column(c).take(pa.array(where)) for c in ("id", "label"))], ["key", "id", "label"])
+                number = np.tile(np.arange(keys.shape[1]), batch.num_rows)
+                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(number), *(batch.column(c).take(pa.array(where)) for c in ("id", "label"))], ["key", "number", "id", "label"])
 
-    rows = named.select("id", "sig", "label").mapInArrow(keyed, "key long, id long, label long")
+    rows = named.select("id", "sig", "label").mapInArrow(keyed, "key long, number long, id long, label long")
     split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo != hi")
     split = staged(split.select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("s")), "keys")
     block = rows.join(split, "key").withColumn("x", F.pmod(F.xxhash64("id"), "s"))
-    meets = block.select("key", "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda y: F.struct(F.least("x", y).alias("x"), F.greatest("x", y).alias("y")))).alias("p"))
-    full = meets.select("key", "p.x", "p.y", "id").join(named, "id")
+    meets = block.select("key", "number", "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda y: F.struct(F.least("x", y).alias("x"), F.greatest("x", y).alias("y")))).alias("p"))
+    full = meets.select("key", "p.x", "p.y", "number", "id").join(named, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "x", "y")):
             ident, n, label = (np.asarray(group.column(c)) for c in ("id", "n", "label"))
             sig = _matrix(pa.concat_arrays(group.column("sig").chunks), hashes)
-            out = []
-            for i in range(len(ident) - 1):
-                rest = slice(i + 1, None)
+            number, out = group.column("number")[0].as_py(), []
+            for i in range(len(ident)):
+                rest = slice(0 if nearest else i + 1, None)
                 ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-                at = np.flatnonzero(ok) + i + 1
+                at = np.flatnonzero(ok) + rest.start
+                if not len(at):
+                    continue
+                same = sig[at] == sig[i]
+                agree = same.sum(axis=1)
+                if nearest:
+                    best = int(agree.argmax())
+                    at = at[best : best + 1] if 2 * agree[best] >= hashes else at[:0]
+                else:
+                    first = same.reshape(len(at), 2, tables, rows_).all(axis=3).argmax(axis=2)
+                    at = at[(2 * agree >= hashes) & (first[:, 0] * tables + first[:, 1] == number)]
                 if len(at):
-                    at = at[(sig[at] == sig[i]).sum(axis=1) * 2 >= hashes]
                     out.append(np.stack([np.minimum(ident[at], ident[i]), np.maximum(ident[at], ident[i])]))
-            if out and sum(x.shape[1] for x in out):
+            if out:
                 a, b = np.unique(np.concatenate(out, axis=1), axis=1)
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -298,9 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Ids that hold several texts, or a copy under another id, are links already.
     known = classes.where("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = staged(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full, how), "links")
-    label = components(links).withColumnRenamed("id", "v")
-    label = staged(near.join(label, near["id"] == label["v"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    links = links.union(confirmed(_unsettled(reps, label, how), full, how))
+    for nearest in (True, False):
+        label = components(links).withColumnRenamed("id", "v")
+        label = staged(near.join(label, near["id"] == label["v"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        links = staged(links.union(confirmed(_unsettled(reps, label, how, nearest), full, how)), "links")
     label = components(links.union(known)).alias("l")
     rows = sketch.select("id", F.col("n").alias("n_shingles")).alias("d").join(label, F.col("d.id") == F.col("l.id"), "left")
     rows = rows.select(F.col("d.id").alias("id"), "n_shingles", F.coalesce("label", "d.id").alias("component_id"))
