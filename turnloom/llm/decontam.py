@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnloom.llm.arrow import mixed, splits
+from turnloom.llm.arrow import splits
 
 Q = 8
 EDIT_SHARE = 0.1
 #: Characters of benchmark text in a slice; a single longer item is a slice of its own.
 SLICE_CHARS = 1 << 21
-_BITS = 22
+_BITS = 20
 _PLAIN = np.arange(0x3000, dtype=np.uint32)
 for _c in range(0x3000):
     _l = chr(_c).lower()
@@ -35,25 +35,37 @@ for _c in range(0x3000):
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points without case, white space as single blanks, none at the ends; and their places in ``text``."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < 0x3000, _PLAIN[np.minimum(points, 0x2FFF)], np.where(points == 0x3000, np.uint32(0x20), points))
+    if len(points) and points.max() < 0x3000:
+        points = _PLAIN.take(points)
+    else:
+        points = np.where(points < 0x3000, _PLAIN[np.minimum(points, 0x2FFF)], np.where(points == 0x3000, np.uint32(0x20), points))
     blank = points == 0x20
+    if not len(points) or not (blank[0] or blank[-1] or (blank[1:] & blank[:-1]).any()):
+        return points, np.arange(len(points))
     keep = ~blank
-    if len(points):
-        keep[1:] |= blank[1:] & ~blank[:-1]
-        solid = np.flatnonzero(~blank)
-        last = solid[-1] if len(solid) else -1
-        keep[last + 1 :] = False
+    keep[1:] |= ~blank[:-1]
+    if blank[-1]:
+        keep[len(points) - int(np.argmin(blank[::-1])) if not blank.all() else 0 :] = False
+    keep[0] = not blank[0]
     at = np.flatnonzero(keep)
     return points[at], at
 
 
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
-    if len(points) < q:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(points) - q + 1, np.uint64)
-    for i in range(q):
-        h = h * np.uint64(0x100000001B3) + points[i : len(points) - q + 1 + i]
-    return mixed(h)
+    """Hashes of all q-grams by doubling; ``q`` is a power of two."""
+    if q & (q - 1):
+        raise ValueError("q must be a power of two")
+    h, width = points.astype(np.uint64), 1
+    while width < q:
+        if len(h) <= width:
+            return np.zeros(0, np.uint64)
+        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
+        width *= 2
+    return h
+
+
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 @dataclass
@@ -86,7 +98,7 @@ def build_slice(items: list[tuple[object, np.ndarray]], q: int, share: float) ->
     grams, item, place = grams[order], item[order], place[order]
     distinct, first = np.unique(grams, return_index=True)
     bitmap = np.zeros(1 << _BITS, bool)
-    bitmap[(distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    bitmap[_cell(distinct)] = True
     return Slice([n for n, _ in items], [t for _, t in items], edits, need, size, distinct, np.append(first, len(grams)), item, place, bitmap, np.flatnonzero(size < q).tolist())
 
 
@@ -121,7 +133,7 @@ def _found(points: np.ndarray, index: Slice, q: int) -> dict[int, tuple[int, int
         if index.size[i] and (hit := _alignment(index.texts[i], points, 0)):
             out[i] = hit
     grams = _grams(points, q)
-    at = np.flatnonzero(index.bitmap[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
+    at = np.flatnonzero(index.bitmap[_cell(grams)])
     if not len(at):
         return out
     slot = np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)
@@ -129,7 +141,12 @@ def _found(points: np.ndarray, index: Slice, q: int) -> dict[int, tuple[int, int
     at, slot = at[real], slot[real]
     count = index.first[slot + 1] - index.first[slot]
     where = np.repeat(index.first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    at, item, place = np.repeat(at, count), index.item[where], index.place[where]
+    item = index.item[where]
+    # An item that falls short over the whole text does so in every band.
+    enough = (np.bincount(item, minlength=len(index.names)) >= index.need)[item]
+    if not enough.any():
+        return out
+    at, item, place = np.repeat(at, count)[enough], item[enough], index.place[where[enough]]
     width = index.edits[item] + 1
     band = (at - place) // width
     key = np.concatenate([item, item]) << 40 | np.concatenate([band, band - 1]) + (1 << 38)
