@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from turnloom.llm.arrow import mixed, splits, utf8
 from turnloom.sources.sinks import staged
@@ -196,7 +197,7 @@ def _matrix(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; a null or empty text has the score of no feature at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add(score_col, "double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in splits(batches, text_col):
