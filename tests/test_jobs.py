@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracles import database, difference
 from turnloom.config import Budget, PrepConfig
 from turnloom.functions.tokens import Vocabulary, text_encoder, tokenizer_file
@@ -12,6 +12,8 @@ from turnloom.operators import normalize as N
 from turnloom.operators import sampling as Q
 from turnloom.operators import windows as W
 from turnloom.plans import fixtures as fx
+from turnloom.plans.catalog import QUERIES
+from turnloom.plans.oracles import ORACLES
 from turnloom.plans.prepare import prepare, store
 from turnloom.sources import sinks
 from turnloom.streaming import jobs
@@ -24,11 +26,11 @@ def db():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, db, name):
-    df = queries()[name](spark, SF)
-    if name in oracle_sql():
-        assert difference(df, db, oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF)
+    if name in ORACLES:
+        assert difference(df, db, ORACLES[name]) is None
     else:
         assert df.count() > 0
 
@@ -38,7 +40,31 @@ def test_entry(spark):
 
 
 def test_only_python_metrics_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {"rouge_l", "eval_metrics", "eval_by_set"}
+    assert set(QUERIES) - set(ORACLES) == {"rouge_l", "eval_metrics", "eval_by_set"}
+
+
+def test_one_conversation_of_4500_turns(spark, tmp_path):
+    """Every path sees the whole of it: same samples, one result per conversation, positions 0 to 4,499."""
+    t = fx.turns(spark, SF)
+    long_one = spark.range(4500).select(
+        F.lit(10**6).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"),
+    )
+    t.unionByName(long_one).write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def of_long(name, key="conv_id"):
+        got = QUERIES[name](spark, str(tmp_path))
+        return got.where(F.split_part(F.col(key).cast("string"), F.lit("-"), F.lit(1)) == "1000000")
+
+    want = sorted(tuple(r) for r in of_long("flagship").select("turn", "start", "kind", "n_prompt", "n_full").collect())
+    assert len(want) == 2250 and want[-1][0] == 4499 and sum(k == "full" for _, _, k, _, _ in want) < 10
+    assert sorted(tuple(r) for r in of_long("stream_expand").select("turn", "start", "kind", "n_prompt", "n_full").collect()) == want
+    assert sorted(tuple(r) for r in of_long("expand_samples").select("turn", "start", "kind").collect()) == [w[:3] for w in want]
+    ids = of_long("prepare_corpus", "sample_id").select(F.split_part("sample_id", F.lit("-"), F.lit(2)).cast("long"), "kind", "n_prompt", "n_full")
+    assert sorted(tuple(r) for r in ids.collect()) == [(a, k, p, n) for a, _, k, p, n in want]
+    assert sorted(r.i for r in of_long("norm_messages").collect()) == list(range(4500))
+    for name in ("src_turns_to_messages", "prefix_split", "chat_pair", "render_template", "flatten_lists"):
+        assert of_long(name).count() == 1
 
 
 @pytest.mark.parametrize("level", ["conversation", "sample"])

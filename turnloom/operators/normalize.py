@@ -7,7 +7,9 @@ null unless content is kept as a list (preserve mode).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, DataType, MapType, NumericType, StringType, StructType, VariantType,
+)
 
 from turnloom.config import PrepConfig
 from turnloom.functions import content as C
@@ -47,15 +49,38 @@ def detect_format(columns: list[str], cfg: PrepConfig) -> str:
     raise ValueError("cannot tell the input format; set input_format and the matching column names")
 
 
+def _mixed(value: Column, dtype: DataType) -> tuple[Column, DataType]:
+    """Typed lists of parts or texts, and objects, as the VARIANT they stand for; fields without a value are null members."""
+    if isinstance(dtype, StructType) or (
+        isinstance(dtype, ArrayType) and isinstance(dtype.elementType, (StructType, StringType))
+    ):
+        return F.to_variant_object(value), VariantType()
+    if isinstance(dtype, (ArrayType, MapType, BinaryType)):
+        raise TypeError(f"message content cannot be {dtype.simpleString()}")
+    return value, dtype
+
+
+def _given(value: Column, dtype: DataType) -> Column:
+    """Whether a raw value counts as present: not null, empty, zero or false."""
+    value, dtype = _mixed(value, dtype)
+    if isinstance(dtype, VariantType):
+        return F.coalesce(~F.to_json(value).isin('""', "[]", "{}", "0", "0.0", "false", "null"), F.lit(False))
+    if isinstance(dtype, BooleanType):
+        return F.coalesce(value, F.lit(False))
+    return F.coalesce(value != (F.lit(0) if isinstance(dtype, NumericType) else F.lit("")), F.lit(False))
+
+
 def content_fields(value: Column, dtype: DataType, cfg: PrepConfig) -> tuple[Column, Column, Column]:
-    """(text, parts, error) of one content value."""
+    """(text, parts, error) of one content value: a text, number, boolean, VARIANT, or typed list of parts or texts."""
+    value, dtype = _mixed(value, dtype)
     mode = cfg.multimodal_mode
     wrap = cfg.use_processor and mode == "preserve"
     no_parts = F.lit(None).cast(f"array<{C.PART_TYPE}>")
     no_error = F.lit(None).cast("string")
     empty = F.array().cast(f"array<{C.PART_TYPE}>")
     if not isinstance(dtype, VariantType):
-        text = F.coalesce(value.cast("string"), F.lit(""))
+        own = value.cast("string")
+        text = F.coalesce(F.initcap(own) if isinstance(dtype, BooleanType) else own, F.lit(""))
         parts = F.when(value.isNull(), empty).otherwise(C.text_part(text)) if wrap else no_parts
         return text, parts, no_error
     what = C.kind(value)
@@ -103,8 +128,7 @@ def _pair(df: DataFrame, user: Column, user_type: DataType, answer: str, cfg: Pr
     if cfg.system_column and cfg.system_column in df.columns:
         system, system_type = value(cfg.system_column)
         message = _message(F.lit("system"), system, system_type, cfg)
-        given = system.isNotNull() & (message["text"] != "")
-        turns.append(F.when(given, message))
+        turns.append(F.when(_given(system, system_type), message))
     turns.append(_message(F.lit("user"), user, user_type, cfg))
     turns.append(_message(F.lit("assistant"), *value(answer), cfg))
     return F.filter(F.array(*turns), lambda m: m.isNotNull())

@@ -534,9 +534,15 @@ def expand_exact(
     def window(start: Column, i: Column) -> Column:
         return F.slice(body, start, i - start + 1)
 
-    def candidates(i: Column) -> Column:
-        legal = F.filter("starts", lambda s: s <= i)
-        nearest = F.array_max(legal)
+    # Bound step by step: inside a lambda the search for the nearest start would run once per start.
+    def legal_starts(i: Column) -> Column:
+        return F.struct(i.alias("i"), F.filter("starts", lambda s: s <= i).alias("legal"))
+
+    def with_nearest(t: Column) -> Column:
+        return F.struct(t["i"].alias("i"), t["legal"].alias("legal"), F.array_max(t["legal"]).alias("nearest"))
+
+    def candidates(t: Column) -> Column:
+        i, legal, nearest = t["i"], t["legal"], t["nearest"]
         if bounded and min_message_tokens and not template.harmony:
             legal = F.filter(legal, lambda s: ((i - s + 1) * min_message_tokens <= budget.max_length) | (s == nearest))
         if bounded and max_token_bytes:
@@ -547,15 +553,20 @@ def expand_exact(
                 return (size <= cap) | (s == nearest)
 
             legal = F.filter(legal, small)
-        return F.transform(legal, lambda s: F.struct(s.alias("start"), F.concat("head", window(s, i)).alias("w")))
+        windows = F.transform(legal, lambda s: F.struct(s.alias("start"), F.concat("head", window(s, i)).alias("w")))
+        return F.struct(i.alias("i"), windows.alias("c"))
 
-    picked = rows.select(*keys, "k", F.explode_outer(F.transform(targets, lambda i: F.struct(i.alias("i"), candidates(i).alias("c")))).alias("t"))
+    # Targets become rows before their windows are cut, so that no row holds the windows of a whole conversation.
+    found = F.transform(F.transform(targets, legal_starts), with_nearest)
+    picked = rows.select(*keys, "k", "head", "body", F.explode_outer(found).alias("t")).where(F.col("t").isNotNull()).select(
+        *keys, "k", candidates(F.col("t")).alias("t")
+    )
 
     def pair(c: Column) -> Column:
         prompt, full, answer = chat_pair(c["w"], template, cfg)
         return F.struct(c["start"].alias("start"), prompt.alias("prompt"), full.alias("full"), answer.alias("answer"))
 
-    texts = picked.where(F.col("t").isNotNull()).select(*keys, "k", F.col("t.i").alias("i"), F.transform("t.c", pair).alias("c")).withColumn(
+    texts = picked.select(*keys, "k", F.col("t.i").alias("i"), F.transform("t.c", pair).alias("c")).withColumn(
         "answer", F.get(F.col("c"), F.lit(0))["answer"]
     )
     coded = (

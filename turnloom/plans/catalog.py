@@ -76,10 +76,10 @@ def stored_samples(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.staged(samples(spark, sf), "samples")
 
 
-def each_message(df: DataFrame) -> DataFrame:
-    """(conv_id, i, role, text) of canonical messages."""
-    return df.select("conv_id", F.posexplode("messages").alias("i", "m")).select(
-        "conv_id", long("i").alias("i"), F.col("m.role").alias("role"), F.col("m.text").alias("text")
+def each_message(df: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """(keys, i, role, text) of canonical messages."""
+    return df.select(*keys, F.posexplode("messages").alias("i", "m")).select(
+        *keys, long("i").alias("i"), F.col("m.role").alias("role"), F.col("m.text").alias("text")
     )
 
 
@@ -124,7 +124,7 @@ def src_preset(spark, sf):
 def src_turns_to_messages(spark, sf):
     m = files.turns_to_messages(fx.turns(spark, sf))
     texts = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
-    return m.select("conv_id", "block", long(F.size("messages")).alias("n"), F.md5(texts).alias("digest"))
+    return m.select("conv_id", long(F.size("messages")).alias("n"), F.md5(texts).alias("digest"))
 
 
 def stored(spark, sf) -> tuple[DataFrame, str]:
@@ -152,6 +152,7 @@ def src_prepared(spark, sf):
 # --- layouts -------------------------------------------------------------------------
 
 SYSTEM = PrepConfig(system_column="system")
+PAIR = ("conv_id", "turn")
 
 
 @query
@@ -185,25 +186,25 @@ def norm_sharegpt(spark, sf):
 
 @query
 def norm_alpaca(spark, sf):
-    return each_message(N.normalize(fx.alpaca(spark, sf), SYSTEM, ["conv_id"]))
+    return each_message(N.normalize(fx.alpaca(spark, sf), SYSTEM, list(PAIR)), PAIR)
 
 
 @query
 def norm_prompt_response(spark, sf):
-    return each_message(N.normalize(fx.prompt_response(spark, sf), PrepConfig(system_column="sys"), ["conv_id"]))
+    return each_message(N.normalize(fx.prompt_response(spark, sf), PrepConfig(system_column="sys"), list(PAIR)), PAIR)
 
 
 @query
 def prompt_join(spark, sf):
     text = X.prompt_join(F.col("instruction"), F.col("input"))
-    return fx.alpaca(spark, sf).select("conv_id", text.alias("prompt"))
+    return fx.alpaca(spark, sf).select(*PAIR, text.alias("prompt"))
 
 
 @query
 def system_prepend(spark, sf):
-    m = N.normalize(fx.alpaca(spark, sf), SYSTEM, ["conv_id"])
+    m = N.normalize(fx.alpaca(spark, sf), SYSTEM, list(PAIR))
     return m.select(
-        "conv_id", long(F.size("messages")).alias("n"), F.get("messages", F.lit(0))["role"].alias("first_role")
+        *PAIR, long(F.size("messages")).alias("n"), F.get("messages", F.lit(0))["role"].alias("first_role")
     )
 
 
@@ -218,22 +219,21 @@ def role_canon(spark, sf):
 
 @query
 def last_is_assistant(spark, sf):
-    # The last message of a conversation sits in its last block.
     last = F.max_by("role", "turn") == "assistant"
     return fx.turns(spark, sf).groupBy("conv_id").agg(last.alias("ends_with_assistant"))
 
 
 @query
 def drop_source_cols(spark, sf):
-    return N.normalize(fx.alpaca(spark, sf), SYSTEM, ["conv_id"]).select(
-        "conv_id", F.md5(F.array_join(F.transform("messages", lambda m: m["text"]), "|")).alias("digest")
+    return N.normalize(fx.alpaca(spark, sf), SYSTEM, list(PAIR)).select(
+        *PAIR, F.md5(F.array_join(F.transform("messages", lambda m: m["text"]), "|")).alias("digest")
     )
 
 
 @query
 def assistant_free_drop(spark, sf):
     m = N.normalize(fx.messages(spark, sf), PrepConfig(), ["conv_id"]).where(N.has_assistant(F.col("messages")))
-    return m.select("conv_id").distinct()
+    return m.select("conv_id")
 
 
 # --- content -------------------------------------------------------------------------
@@ -305,6 +305,22 @@ def content_text_simple(spark, sf):
     return c.select("conv_id", "turn", text.alias("text"))
 
 
+@query
+def content_typed(spark, sf):
+    """Typed lists of parts in all four modes."""
+    df = fx.typed_contents(spark, sf)
+    rows = None
+    for mode in ("placeholder", "text-only", "strict", "preserve"):
+        cfg = PrepConfig(multimodal_mode=mode, on_error="quarantine")
+        m = F.get("messages", F.lit(0))
+        one = N.normalize(df, cfg, ["conv_id", "turn"]).select(
+            "conv_id", "turn", F.lit(mode).alias("mode"), F.col("error").isNull().alias("ok"), m["text"].alias("text"),
+            F.when(m["parts"].isNotNull(), long(F.size(m["parts"]))).alias("n_parts"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query
 def render_response(spark, sf):
     text = C.render_response(F.col("content"), "placeholder", "auto")
@@ -437,7 +453,7 @@ def attn_mask(spark, sf):
 
 def generated(spark, sf) -> DataFrame:
     """Left-padded prompts and right-padded responses, the latter cut from the full ids."""
-    s = samples(spark, sf).where(F.col("n_prompt") <= F.col("n_full"))
+    s = samples(spark, sf)
     answer = A.cut_generated(F.col("input_ids"), F.size("prompt_ids"))
     return s.select(
         "sample_id", A.pad_left(F.col("prompt_ids"), 64, PAD_ID).alias("prompt"), A.pad_right(answer, 256, PAD_ID).alias("response")
@@ -465,7 +481,7 @@ def cut_generated(spark, sf):
 
 @query
 def count_tokens(spark, sf):
-    batch = B.batch_ids(stored_samples(spark, sf), "sample_id", 8)
+    batch = B.batch_ids(stored_samples(spark, sf), "sample_id", 8, drop_last=False)
     padded = A.pad_right(F.col("input_ids"), 320, PAD_ID)
     return batch.groupBy("batch_id").agg(F.sum(long(A.count_tokens(padded, PAD_ID))).alias("tokens"))
 
@@ -572,8 +588,7 @@ def expand_samples_exact(spark, sf):
 def prepare_corpus(spark, sf):
     """Source rows to split samples in one job, quarantining nothing."""
     cfg = PrepConfig(eval_size=20, budget=BUDGET)
-    source = fx.sharegpt(spark, sf).where(F.col("block") == 0)
-    return prepare(source, "conv_id", cfg, vocab=vocabulary(spark, sf)).select(
+    return prepare(fx.sharegpt(spark, sf), "conv_id", cfg, vocab=vocabulary(spark, sf)).select(
         "sample_id", "split", "kind", long("n_prompt").alias("n_prompt"), long("n_full").alias("n_full")
     )
 
@@ -742,7 +757,7 @@ def replay_sample(spark, sf):
 @query
 def teacher_swap(spark, sf):
     d = fx.table(spark, sf, "documents")
-    data = B.batch_ids(d.select("doc_id", "text"), "doc_id", 16).select(
+    data = B.batch_ids(d.select("doc_id", "text"), "doc_id", 16, drop_last=False).select(
         F.col("doc_id").alias("sample_id"), "batch_id", F.col("text").alias("response")
     )
     teacher = fx.table(spark, sf, "labels").select(

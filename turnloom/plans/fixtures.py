@@ -15,11 +15,6 @@ RAW_ROLE = """CASE role
   WHEN 'user' THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'user' WHEN 1 THEN ' Human ' ELSE 'USER' END
   WHEN 'assistant' THEN CASE (conv_id + turn) % 4 WHEN 0 THEN 'assistant' WHEN 1 THEN 'bot' WHEN 2 THEN 'GPT ' ELSE 'Model' END
   ELSE CASE conv_id % 2 WHEN 0 THEN 'System' ELSE 'developer' END END"""
-PAIR_COLUMNS = {
-    "user_text": "min_by(text, turn) FILTER (WHERE role = 'user')",
-    "answer_text": "min_by(text, turn) FILTER (WHERE role = 'assistant')",
-    "system_text": "min_by(text, turn) FILTER (WHERE role = 'system' AND turn = 0)",
-}
 RUN_HOUR = 3_600_000_000
 
 
@@ -32,13 +27,13 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """(conv_id, block, messages) with raw role spellings."""
+    """(conv_id, messages) with raw role spellings."""
     return turns_to_messages(turns(spark, sf).withColumn("role", F.expr(RAW_ROLE)))
 
 
 def sharegpt(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).select(
-        "conv_id", "block",
+        "conv_id",
         F.transform("messages", lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value"))).alias("conversations"),
     )
 
@@ -46,19 +41,28 @@ def sharegpt(spark: SparkSession, sf: str) -> DataFrame:
 def chosen(spark: SparkSession, sf: str) -> DataFrame:
     """Preferred side = the conversation, rejected side = the one with the next id."""
     m = messages(spark, sf)
-    other = m.select((F.col("conv_id") - 1).alias("conv_id"), "block", F.col("messages").alias("rejected"))
-    return m.join(other, ["conv_id", "block"], "left").withColumnRenamed("messages", "chosen")
+    other = m.select((F.col("conv_id") - 1).alias("conv_id"), F.col("messages").alias("rejected"))
+    return m.join(other, "conv_id", "left").withColumnRenamed("messages", "chosen")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """First user, assistant and leading system text per conversation (partial aggregates)."""
-    return turns(spark, sf).groupBy("conv_id").agg(*[F.expr(e).alias(n) for n, e in PAIR_COLUMNS.items()])
+    """Every assistant turn with the text before it and, where that opens the conversation's body, the system text.
+
+    The joins are on (conv_id, turn), which is unique: a very long conversation spreads like many short ones.
+    """
+    t = turns(spark, sf)
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("user_text"))
+    system = t.where(F.col("role") == "system").select(
+        "conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("system_text")
+    )
+    answers = t.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("answer_text"))
+    return answers.join(before, ["conv_id", "turn"], "left").join(system, ["conv_id", "turn"], "left")
 
 
 def alpaca(spark: SparkSession, sf: str) -> DataFrame:
     first_line = F.split_part("user_text", F.lit("\n"), F.lit(1))
     return pairs(spark, sf).select(
-        "conv_id",
+        "conv_id", "turn",
         first_line.alias("instruction"),
         F.substring("user_text", F.length(first_line) + 2, F.length("user_text")).alias("input"),
         F.col("answer_text").alias("output"),
@@ -68,7 +72,7 @@ def alpaca(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_response(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select(
-        "conv_id", F.col("user_text").alias("question"), F.col("answer_text").alias("answer"), F.col("system_text").alias("sys")
+        "conv_id", "turn", F.col("user_text").alias("question"), F.col("answer_text").alias("answer"), F.col("system_text").alias("sys")
     )
 
 
@@ -108,6 +112,16 @@ def contents(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("conv_id", "turn", "role", "text", "k", F.parse_json(json).alias("content"))
 
 
+def typed_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, turn, messages) with content as a typed list: a text part, a text and an image part, or nothing."""
+    part = "struct<type:string,text:string,image:string>"
+    text = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("image"))
+    image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("picture").alias("image"))
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    content = F.when(k == 0, F.array(text)).when(k == 1, F.array(text, image)).otherwise(F.array().cast(f"array<{part}>"))
+    return turns(spark, sf).select("conv_id", "turn", F.array(F.struct("role", content.alias("content"))).alias("messages"))
+
+
 def thinking(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant texts led by a think span made of the previous turn."""
     t = turns(spark, sf)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from turnloom.plans.fixtures import PAIR_COLUMNS, RAW_ROLE
+from turnloom.plans.fixtures import RAW_ROLE
 
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Used several times by one query, and dear to repeat.
+MATERIALIZED = ("page_count", "contents", "items", "parts", "emb_count", "lg", "al")
 
 
 def cte(name: str, needs: tuple[str, ...], body: str) -> None:
@@ -23,7 +25,7 @@ def oracle(name: str, needs: tuple[str, ...], body: str) -> None:
 
     for n in needs:
         add(n)
-    head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n][1]})" for n in order)
     ORACLES[name] = f"WITH RECURSIVE {head}\n{body}" if order else body
 
 
@@ -75,10 +77,15 @@ cte(
     f"""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text,
     {ROLE.format(r=_key, d='system')} AS role, {ROLE.format(r=_key, d='developer')} AS role_h FROM raw""",
 )
-cte("pairs", (), "SELECT conv_id, " + ", ".join(f"{e} AS {n}" for n, e in PAIR_COLUMNS.items()) + " FROM conversations GROUP BY conv_id")
+cte(
+    "pairs", (),
+    """SELECT a.conv_id, a.turn, u.text AS user_text, a.text AS answer_text, s.text AS system_text FROM conversations a
+    LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
+    LEFT JOIN conversations s ON s.conv_id = a.conv_id AND s.turn = a.turn - 2 AND s.role = 'system' WHERE a.role = 'assistant'""",
+)
 cte(
     "alpaca", ("pairs",),
-    """SELECT conv_id, split_part(user_text, chr(10), 1) AS instruction,
+    """SELECT conv_id, turn, split_part(user_text, chr(10), 1) AS instruction,
     substr(user_text, length(split_part(user_text, chr(10), 1)) + 2) AS input, answer_text AS output, system_text AS system FROM pairs""",
 )
 cte(
@@ -89,11 +96,11 @@ cte(
 
 
 def triple(source: str, system: str, prompt: str, answer: str) -> str:
-    """(conv_id, i, role, text) of [system] + user + assistant."""
+    """(conv_id, turn, i, role, text) of [system] + user + assistant."""
     has = f"CASE WHEN coalesce({system}, '') <> '' THEN 1 ELSE 0 END"
-    return f"""SELECT conv_id, CAST(0 AS BIGINT) AS i, 'system' AS role, {system} AS text FROM {source} WHERE coalesce({system}, '') <> ''
-    UNION ALL SELECT conv_id, CAST({has} AS BIGINT), 'user', coalesce({prompt}, '') FROM {source}
-    UNION ALL SELECT conv_id, CAST({has} + 1 AS BIGINT), 'assistant', coalesce({answer}, '') FROM {source}"""
+    return f"""SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, 'system' AS role, {system} AS text FROM {source} WHERE coalesce({system}, '') <> ''
+    UNION ALL SELECT conv_id, turn, CAST({has} AS BIGINT), 'user', coalesce({prompt}, '') FROM {source}
+    UNION ALL SELECT conv_id, turn, CAST({has} + 1 AS BIGINT), 'assistant', coalesce({answer}, '') FROM {source}"""
 
 
 cte("alpaca_rows", ("alpaca_prompt",), triple("alpaca_prompt", "system", "prompt", "output"))
@@ -106,23 +113,24 @@ oracle(
 )
 oracle(
     "src_turns_to_messages", (),
-    """SELECT conv_id, CAST(0 AS BIGINT) AS block, count(*) AS n,
+    """SELECT conv_id, count(*) AS n,
     md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""",
 )
 oracle(
     "detect_format", (),
-    """SELECT f.layout, count(DISTINCT conv_id) AS n FROM conversations,
-    (VALUES ('messages'), ('chosen'), ('sharegpt'), ('alpaca'), ('prompt-response')) f(layout) GROUP BY f.layout""",
+    """SELECT f.layout, CASE WHEN f.lists THEN count(DISTINCT conv_id) ELSE count(*) FILTER (WHERE role = 'assistant') END AS n FROM conversations,
+    (VALUES ('messages', true), ('chosen', true), ('sharegpt', true), ('alpaca', false), ('prompt-response', false)) f(layout, lists)
+    GROUP BY f.layout, f.lists""",
 )
 oracle("norm_messages", ("canon",), "SELECT conv_id, i, role, text FROM canon")
 oracle("norm_chosen", ("canon",), "SELECT conv_id, i, role, text FROM canon")
 oracle("norm_sharegpt", ("canon",), "SELECT conv_id, i, role_h AS role, text FROM canon")
 oracle("norm_alpaca", ("alpaca_rows",), "SELECT * FROM alpaca_rows")
 oracle("norm_prompt_response", ("pairs",), triple("pairs", "system_text", "user_text", "answer_text"))
-oracle("prompt_join", ("alpaca_prompt",), "SELECT conv_id, prompt FROM alpaca_prompt")
+oracle("prompt_join", ("alpaca_prompt",), "SELECT conv_id, turn, prompt FROM alpaca_prompt")
 oracle(
     "system_prepend", ("alpaca_rows",),
-    "SELECT conv_id, count(*) AS n, min_by(role, i) AS first_role FROM alpaca_rows GROUP BY conv_id",
+    "SELECT conv_id, turn, count(*) AS n, min_by(role, i) AS first_role FROM alpaca_rows GROUP BY conv_id, turn",
 )
 oracle("role_canon", ("canon",), "SELECT conv_id, turn, role, role_h AS role_harmony FROM canon")
 oracle(
@@ -131,15 +139,16 @@ oracle(
 )
 oracle(
     "drop_source_cols", ("alpaca_rows",),
-    "SELECT conv_id, md5(string_agg(text, '|' ORDER BY i)) AS digest FROM alpaca_rows GROUP BY conv_id",
+    "SELECT conv_id, turn, md5(string_agg(text, '|' ORDER BY i)) AS digest FROM alpaca_rows GROUP BY conv_id, turn",
 )
 oracle("assistant_free_drop", ("canon",), "SELECT DISTINCT conv_id FROM canon WHERE role = 'assistant'")
 
 # --- content -------------------------------------------------------------------------
 
 _T, _U = "CAST(to_json(text) AS VARCHAR)", "CAST(to_json(url) AS VARCHAR)"
+cte("page_count", (), "SELECT count(*) AS n FROM pages")
 cte(
-    "contents", (),
+    "contents", ("page_count",),
     f"""SELECT conv_id, turn, k, text, CAST(CASE k WHEN 0 THEN {_T} WHEN 1 THEN 'null' WHEN 2 THEN CAST(turn AS VARCHAR)
     WHEN 3 THEN '[' || {_T} || ', " tail"]'
     WHEN 4 THEN '[{{"type":"text","text":' || {_T} || '}},{{"type":"image_url","image_url":{{"url":' || {_U} || '}}}}]'
@@ -147,8 +156,8 @@ cte(
     WHEN 6 THEN '[{{"type":" Video.MP4 ","video":' || {_U} || '}},{{"type":"text","text":' || {_T} || '}}]'
     WHEN 7 THEN '[{{"file":' || {_U} || '}},{{"audio_url":' || {_U} || '}},{{"type":"","image":"","image_url":' || {_U} || '}}]'
     WHEN 8 THEN '"[\\"hi\\"]"' WHEN 9 THEN '[]' ELSE '[{{"foo":1}},{{"type":"text","text":' || {_T} || '}}]' END AS JSON) AS c
-    FROM (SELECT *, (conv_id + turn) % 11 AS k FROM conversations)
-    JOIN (SELECT page_id, url FROM pages) ON page_id = conv_id % (SELECT count(*) FROM pages)""",
+    FROM (SELECT *, (conv_id + turn) % 11 AS k, conv_id % n AS page_id FROM conversations CROSS JOIN page_count)
+    JOIN (SELECT page_id, url FROM pages) USING (page_id)""",
 )
 cte(
     "items", ("contents",),
@@ -229,6 +238,15 @@ oracle(
     (SELECT conv_id, turn, {refs('image')} AS images, {refs('video')} AS videos FROM parts GROUP BY conv_id, turn) p USING (conv_id, turn)""",
 )
 
+oracle(
+    "content_typed", (),
+    """SELECT conv_id, turn, mode, NOT (mode = 'strict' AND k = 1) AS ok,
+    CASE k WHEN 0 THEN text WHEN 1 THEN CASE mode WHEN 'text-only' THEN text ELSE text || '[IMAGE]' END ELSE '' END AS text,
+    CASE WHEN mode = 'preserve' THEN CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) END AS n_parts
+    FROM (SELECT *, (conv_id + turn) % 3 AS k FROM conversations),
+    (VALUES ('placeholder'), ('text-only'), ('strict'), ('preserve')) f(mode)""",
+)
+
 # --- think spans, transcripts, templates ---------------------------------------------
 
 cte(
@@ -384,8 +402,7 @@ oracle("cut_generated", ("generated",), f"SELECT sample_id, {joined('r')} AS ids
 cte("sample_batches", ("samples",), f"SELECT *, {place(42, 'sample_id')} AS rank, count(*) OVER () AS total FROM samples")
 oracle(
     "count_tokens", ("sample_batches",),
-    """SELECT rank // 8 AS batch_id, CAST(sum(least(len(input_ids), 320)) AS BIGINT) AS tokens FROM sample_batches
-    WHERE rank < total - total % 8 GROUP BY 1""",
+    """SELECT rank // 8 AS batch_id, CAST(sum(least(len(input_ids), 320)) AS BIGINT) AS tokens FROM sample_batches GROUP BY 1""",
 )
 oracle(
     "flatten_lists", ("w",),
@@ -477,10 +494,11 @@ oracle(
 # --- logits --------------------------------------------------------------------------
 
 cte("emb", (), "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings")
+cte("emb_count", (), "SELECT count(*) AS n FROM embeddings")
 cte(
-    "lg", ("emb",),
+    "lg", ("emb", "emb_count"),
     """SELECT a.vec_id // 16 AS sample_id, a.vec_id % 16 AS pos, a.z AS zs, b.z AS zt, CASE WHEN a.vec_id % 16 < 4 THEN -100 ELSE a.label END AS label
-    FROM emb a JOIN emb b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM emb)""",
+    FROM (SELECT *, (vec_id + 1) % n AS next_id FROM emb CROSS JOIN emb_count) a JOIN emb b ON b.vec_id = a.next_id""",
 )
 cte(
     "al", ("lg",),
@@ -652,7 +670,7 @@ oracle(
     "teacher_swap", ("doc_ranks",),
     f"""SELECT doc_id AS sample_id, batch_id, sw AS from_teacher, md5(CASE WHEN sw THEN 'teacher ' || quality ELSE text END) AS digest FROM (
     SELECT b.doc_id, b.batch_id, d.text, l.quality, {unit(3, 'b.batch_id')} < 0.5 AND l.doc_id IS NOT NULL AS sw
-    FROM (SELECT doc_id, rank // 16 AS batch_id FROM doc_ranks WHERE loader = 'train' AND rank < total - total % 16) b
+    FROM (SELECT doc_id, rank // 16 AS batch_id FROM doc_ranks WHERE loader = 'train') b
     JOIN documents d USING (doc_id) LEFT JOIN labels l ON l.doc_id = b.doc_id)""",
 )
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType, VariantType
 
-from turnloom.operators.windows import DEFAULT_WIDTH
-
 LOADERS = ("json", "jsonl", "parquet")
 
 
@@ -76,18 +74,17 @@ def preset_column(columns: list[str]) -> str:
     return "messages" if "messages" in columns else "chosen"
 
 
-def turns_to_messages(turns: DataFrame, key: str = "conv_id", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Turn table -> (key, block, messages in turn order).
+def turns_to_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turn table -> (key, messages in turn order), one row per conversation.
 
-    A row covers one block of ``width`` turns, so no row grows with the table; ordinary
-    conversations have one row, block 0.
+    The nested layout holds a conversation in one row, however long it is. To expand a turn
+    table use :func:`turnloom.operators.windows.expand_turns`, whose rows are bounded.
     """
-    block = F.floor(F.col("turn") / width).cast("long")
     return (
-        turns.groupBy(key, block.alias("block"))
+        turns.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
         .select(
-            key, "block",
+            key,
             F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"),
         )
     )
