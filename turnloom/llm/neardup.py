@@ -13,9 +13,10 @@ Steps, each written to the shared folder where it is used twice:
    gathered per key.
 3. One link per id is confirmed on full shingle sets; most groups are complete then.
 4. Keys whose members still lie in different components are compared in full: members meet in blocks of bounded size,
-   first each with its nearest only, then, where components still differ, every pair once. A pair goes on to
-   confirmation if its sketches agree in at least half of the positions (one at the threshold fails that with
-   probability 0.00002) and its set sizes allow the similarity.
+   every pair once. A pair is checked on its sets if its sketches agree in at least half of the positions (one at the
+   threshold fails that with probability 0.00002) and its set sizes allow the similarity. The check is made inside the
+   block, so what leaves it is a forest of links, not pairs. Of a set of more than HEAD items a sample decides there; if
+   confirmation refutes one of those guesses, the pairs with such a set are compared once more without a forest.
 
 The result is one row per document; copies are never expanded into pairs.
 """
@@ -35,6 +36,8 @@ from turnloom.llm.shingles import shingle_sets
 from turnloom.sources.sinks import staged
 
 BLOCK = 2048
+#: Items of a set that meet in a block: two blocks hold 64 MB of them at most.
+HEAD = 2048
 #: Words of the bitmap that spares documents without a candidate the set construction; a full bitmap spares none.
 FILTER_WORDS = 1 << 18
 
@@ -224,13 +227,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unsettled(reps: DataFrame, label: DataFrame, how: NearDup, nearest: bool) -> DataFrame:
-    """Pairs of different components that share a key and agree in half of their minhashes, compared block against block.
+def _alike(sig: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, i: int, number: int, how: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """Later rows that ``i`` has to be compared with in the table ``number``, and in how many minhashes they agree: other
+    label, sizes that allow the similarity, half of the minhashes equal, this the first table that the two share.
 
-    With ``nearest`` only the best partner of each member of a block; else every such pair, once: in the first key that
-    the two share, which their minhashes tell.
+    ``own`` tells the block of a row; where two blocks meet, only rows of different blocks are compared.
     """
-    hashes, percent, tables, rows_ = how.hashes, how.percent, how.tables, how.rows
+    rest = slice(i + 1, None)
+    ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= how.percent * np.maximum(n[rest], n[i]))
+    if own[0] != own[-1]:
+        ok &= own[rest] != own[i]
+    at = np.flatnonzero(ok) + i + 1
+    same = sig[at] == sig[i]
+    agree = same.sum(axis=1)
+    at, same, agree = (x[2 * agree >= how.hashes] for x in (at, same, agree))
+    first = same.reshape(len(at), 2, how.tables, how.rows).all(axis=3).argmax(axis=2)
+    here = first[:, 0] * how.tables + first[:, 1] == number
+    return at[here], agree[here]
+
+
+def _heads_similar(heads: list[np.ndarray], n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the set of ``i`` may be similar to each of the others, told from the HEAD smallest items of each.
+
+    Exact where both sets are whole. Else the smaller items up to the last that both heads cover are an even sample of the
+    union, and pairs down to 4.5 standard deviations under the threshold pass.
+    """
+    mine, most = heads[i], np.uint64(0xFFFFFFFFFFFFFFFF)
+    last = lambda k: heads[k][-1] if n[k] > HEAD else most
+    limit = np.array([min(last(i), last(k)) for k in others], np.uint64)
+    sizes = np.array([len(heads[k]) for k in others])
+    items = np.concatenate([heads[k] for k in others])
+    covered = items <= np.repeat(limit, sizes)
+    found = mine[np.minimum(np.searchsorted(mine, items), len(mine) - 1)] == items
+    starts = np.cumsum(sizes) - sizes
+    common = np.add.reduceat((found & covered).astype(np.int64), starts)
+    union = np.searchsorted(mine, limit, side="right") + np.add.reduceat(covered.astype(np.int64), starts) - common
+    p = percent / 100
+    slack = np.where(limit == most, 0.0, 4.5 * np.sqrt(p * (1 - p) * np.maximum(union, 1)))
+    return np.where(limit == most, 100 * common >= percent * union, common >= p * union - slack)
+
+
+def _unsettled(reps: DataFrame, label: DataFrame, sets: DataFrame, how: NearDup, again: bool) -> DataFrame:
+    """(a, b, guessed): links between different components whose members share a key.
+
+    Members of an unsettled key meet block against block, first by minhashes only; members with a partner then meet
+    once more with their sets, of which at most HEAD items are taken. What is found similar joins the groups of the block
+    at once, so that a block gives no more links than it has rows, while no pair of different groups goes unchecked. Pairs
+    of whole sets are settled before those with a longer set, which are guesses. With ``again`` only pairs with a
+    longer set are compared, and every similar one is given.
+    """
+    hashes = how.hashes
     named = staged(reps.join(label, "id").select("id", "n", "sig", "label"), "named")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,42 +285,67 @@ def _unsettled(reps: DataFrame, label: DataFrame, how: NearDup, nearest: bool) -
                 keys = _keys(_matrix(batch.column("sig"), hashes), how)
                 where = np.repeat(np.arange(batch.num_rows), keys.shape[1])
                 number = np.tile(np.arange(keys.shape[1]), batch.num_rows)
-                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(number), *(batch.column(c).take(pa.array(where)) for c in ("id", "label"))], ["key", "number", "id", "label"])
+                yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(number), *(batch.column(c).take(pa.array(where)) for c in ("id", "n", "label"))], ["key", "number", "id", "n", "label"])
 
-    rows = named.select("id", "sig", "label").mapInArrow(keyed, "key long, number long, id long, label long")
-    split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo != hi")
-    split = staged(split.select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("s")), "keys")
-    block = rows.join(split, "key").withColumn("x", F.pmod(F.xxhash64("id"), "s"))
-    meets = block.select("key", "number", "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda y: F.struct(F.least("x", y).alias("x"), F.greatest("x", y).alias("y")))).alias("p"))
-    full = meets.select("key", "p.x", "p.y", "number", "id").join(named, "id")
+    rows = named.select("id", "n", "sig", "label").mapInArrow(keyed, "key long, number long, id long, n long, label long")
+    split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.max("n").alias("top")).where("lo != hi")
+    split = staged((split.where(F.col("top") > HEAD) if again else split).select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("s")), "keys")
+    block = rows.drop("n").join(split, "key").withColumn("own", F.pmod(F.xxhash64("id"), "s"))
+    meets = block.select("key", "number", "id", "own", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda y: F.struct(F.least("own", y).alias("x"), F.greatest("own", y).alias("y")))).alias("p"))
+    full = meets.select("key", "p.x", "p.y", "own", "number", "id").join(named, "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(group: pa.Table) -> tuple:
+        sig = _matrix(pa.concat_arrays(group.column("sig").chunks), hashes)
+        return sig, *(np.asarray(group.column(c)) for c in ("n", "label", "own", "id")), group.column("number")[0].as_py()
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("key", "x", "y")):
+            sig, n, label, own, _, number = columns(group)
+            hit = np.zeros(len(n), bool)
+            for i in range(len(n) - 1):
+                at, _ = _alike(sig, n, label, own, i, number, how)
+                if again and n[i] <= HEAD:
+                    at = at[n[at] > HEAD]
+                hit[at] = True
+                hit[i] |= len(at) > 0
+            if hit.any():
+                yield from group.select(["key", "x", "y", "own", "number", "id"]).filter(pa.array(hit)).to_batches()
+
+    order = ("key", "x", "y", "own", "id")
+    met = full.repartition("key", "x", "y").sortWithinPartitions(*order)
+    needed = staged(met.mapInArrow(with_partner, "key long, x long, y long, own long, number long, id long"), "needed")
+    heads = sets.select("id", F.expr("octet_length(items) div 8").alias("n"), F.substring("items", 1, 8 * HEAD).alias("head"))
+    whole = needed.join(named.drop("n"), "id").join(heads, "id")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "x", "y")):
-            ident, n, label = (np.asarray(group.column(c)) for c in ("id", "n", "label"))
-            sig = _matrix(pa.concat_arrays(group.column("sig").chunks), hashes)
-            number, out = group.column("number")[0].as_py(), []
-            for i in range(len(ident)):
-                rest = slice(0 if nearest else i + 1, None)
-                ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-                at = np.flatnonzero(ok) + rest.start
-                if not len(at):
+            sig, n, label, own, ident, number = columns(group)
+            heads = [h for chunk in group.column("head").chunks for data, at in [utf8(chunk)] for h in np.split(data[at[0] : at[-1]].view(np.uint64), (at[1:-1] - at[0]) // 8)]
+            _, team = np.unique(label, return_inverse=True)
+            longer, out = n > HEAD, []
+            for guessed in (True,) if again else (False, True):
+                if guessed and not longer.any():
                     continue
-                same = sig[at] == sig[i]
-                agree = same.sum(axis=1)
-                if nearest:
-                    best = int(agree.argmax())
-                    at = at[best : best + 1] if 2 * agree[best] >= hashes else at[:0]
-                else:
-                    first = same.reshape(len(at), 2, tables, rows_).all(axis=3).argmax(axis=2)
-                    at = at[(2 * agree >= hashes) & (first[:, 0] * tables + first[:, 1] == number)]
-                if len(at):
-                    out.append(np.stack([np.minimum(ident[at], ident[i]), np.maximum(ident[at], ident[i])]))
+                for i in range(len(n) - 1):
+                    if longer[i] and not guessed:
+                        continue
+                    at, agree = _alike(sig, n, label, own, i, number, how)
+                    at = at[np.argsort(-agree, kind="stable")]
+                    at = at[(longer[at] | longer[i]) == guessed]
+                    step = 8
+                    while len(at := at[team[at] != team[i]]):
+                        some, at, step = at[:step], at[step:], min(2 * step, 256)
+                        for j in some[_heads_similar(heads, n, i, some, how.percent)]:
+                            if team[j] != team[i]:
+                                out.append((min(ident[i], ident[j]), max(ident[i], ident[j]), guessed))
+                                if not again:
+                                    team[team == team[j]] = team[i]
             if out:
-                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b, c = zip(*out)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["a", "b", "guessed"])
 
-    met = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    met = whole.repartition("key", "x", "y").sortWithinPartitions(*order)
+    return met.mapInArrow(links, "a long, b long, guessed boolean").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -313,10 +384,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Ids that hold several texts, or a copy under another id, are links already.
     known = classes.where("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = staged(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full, how), "links")
-    for nearest in (True, False):
+    for again in (False, True):
         label = components(links).withColumnRenamed("id", "v")
         label = staged(near.join(label, near["id"] == label["v"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        links = staged(links.union(confirmed(_unsettled(reps, label, how, nearest), full, how)), "links")
+        found = staged(_unsettled(reps, label, full, how, again), "found")
+        sure = staged(confirmed(found.select("a", "b").distinct(), full, how), "sure")
+        links = staged(links.union(sure), "links")
+        if found.where("guessed").join(sure, ["a", "b"], "left_anti").isEmpty():
+            break
     label = components(links.union(known)).alias("l")
     rows = sketch.select("id", F.col("n").alias("n_shingles")).alias("d").join(label, F.col("d.id") == F.col("l.id"), "left")
     rows = rows.select(F.col("d.id").alias("id"), "n_shingles", F.coalesce("label", "d.id").alias("component_id"))
