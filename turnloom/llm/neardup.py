@@ -231,18 +231,19 @@ def _alike(sig: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, i
     """Later rows that ``i`` has to be compared with in the table ``number``, and in how many minhashes they agree: other
     label, sizes that allow the similarity, half of the minhashes equal, this the first table that the two share.
 
-    ``own`` tells the block of a row; where two blocks meet, only rows of different blocks are compared.
+    ``sig`` has a column per row. ``own``, which the rows are ordered by, tells the block of a row; where two blocks meet,
+    only rows of different blocks are compared.
     """
-    rest = slice(i + 1, None)
-    ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= how.percent * np.maximum(n[rest], n[i]))
-    if own[0] != own[-1]:
-        ok &= own[rest] != own[i]
-    at = np.flatnonzero(ok) + i + 1
-    same = sig[at] == sig[i]
-    agree = same.sum(axis=1)
-    at, same, agree = (x[2 * agree >= how.hashes] for x in (at, same, agree))
-    first = same.reshape(len(at), 2, how.tables, how.rows).all(axis=3).argmax(axis=2)
-    here = first[:, 0] * how.tables + first[:, 1] == number
+    start = int(np.searchsorted(own, own[-1])) if own[0] != own[-1] else 0
+    if start and i >= start:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    rest = slice(max(i + 1, start), None)
+    agree = (sig[:, rest] == sig[:, i, None]).sum(axis=0, dtype=np.uint8)
+    ok = (2 * agree.astype(np.int64) >= how.hashes) & (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= how.percent * np.maximum(n[rest], n[i]))
+    at = np.flatnonzero(ok)
+    agree, at = agree[at].astype(np.int64), at + rest.start
+    first = (sig[:, at] == sig[:, i, None]).reshape(2, how.tables, how.rows, len(at)).all(axis=2).argmax(axis=1)
+    here = first[0] * how.tables + first[1] == number
     return at[here], agree[here]
 
 
@@ -295,7 +296,7 @@ def _unsettled(reps: DataFrame, label: DataFrame, sets: DataFrame, how: NearDup,
     full = meets.select("key", "p.x", "p.y", "own", "number", "id").join(named, "id")
 
     def columns(group: pa.Table) -> tuple:
-        sig = _matrix(pa.concat_arrays(group.column("sig").chunks), hashes)
+        sig = np.ascontiguousarray(_matrix(pa.concat_arrays(group.column("sig").chunks), hashes).T)
         return sig, *(np.asarray(group.column(c)) for c in ("n", "label", "own", "id")), group.column("number")[0].as_py()
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
