@@ -93,12 +93,18 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
     return data[at[0] : at[-1]].view(np.uint32).reshape(-1, hashes)
 
 
-def _keys(sig: np.ndarray, how: NearDup) -> np.ndarray:
-    """(rows, tables ** 2) keys: every value of the first collection with every one of the second."""
+def _values(sig: np.ndarray, how: NearDup) -> np.ndarray:
+    """(rows, 2, tables): the values of the tables of both collections."""
     parts = sig.astype(np.uint64).reshape(len(sig), 2, how.tables, how.rows)
     value = np.zeros(parts.shape[:3], np.uint64)
     for r in range(how.rows):
         value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + parts[..., r])
+    return value
+
+
+def _keys(sig: np.ndarray, how: NearDup) -> np.ndarray:
+    """(rows, tables ** 2) keys: every value of the first collection with every one of the second."""
+    value = _values(sig, how)
     number = np.arange(how.tables**2, dtype=np.uint64).reshape(how.tables, how.tables)
     return mixed(value[:, 0, :, None] * np.uint64(3) + value[:, 1, None, :] * np.uint64(0xD6E8FEB86659FD93) + number).reshape(len(sig), -1)
 
@@ -227,24 +233,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(sig: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, i: int, number: int, how: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Later rows that ``i`` has to be compared with in the table ``number``, and in how many minhashes they agree: other
-    label, sizes that allow the similarity, half of the minhashes equal, this the first table that the two share.
+def _alike(sig: np.ndarray, before: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, i: int, how: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """Later rows that ``i`` has to be compared with, and in how many minhashes they agree: other label, sizes that allow
+    the similarity, half of the minhashes equal, none of the values ``before``, those of the earlier tables of either
+    collection, shared: so a pair is compared in the first key that it shares only.
 
-    ``sig`` has a column per row. ``own``, which the rows are ordered by, tells the block of a row; where two blocks meet,
-    only rows of different blocks are compared.
+    ``sig`` and ``before`` have a column per row. ``own``, which the rows are ordered by, tells the block of a row; where
+    two blocks meet, only rows of different blocks are compared.
     """
     start = int(np.searchsorted(own, own[-1])) if own[0] != own[-1] else 0
     if start and i >= start:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     rest = slice(max(i + 1, start), None)
     agree = (sig[:, rest] == sig[:, i, None]).sum(axis=0, dtype=np.uint8)
-    ok = (2 * agree.astype(np.int64) >= how.hashes) & (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= how.percent * np.maximum(n[rest], n[i]))
+    ok = (agree >= (how.hashes + 1) // 2) & (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= how.percent * np.maximum(n[rest], n[i]))
+    ok &= ~(before[:, rest] == before[:, i, None]).any(axis=0)
     at = np.flatnonzero(ok)
-    agree, at = agree[at].astype(np.int64), at + rest.start
-    first = (sig[:, at] == sig[:, i, None]).reshape(2, how.tables, how.rows, len(at)).all(axis=2).argmax(axis=1)
-    here = first[0] * how.tables + first[1] == number
-    return at[here], agree[here]
+    return at + rest.start, agree[at].astype(np.int64)
 
 
 def _heads_similar(heads: list[np.ndarray], n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -296,15 +301,18 @@ def _unsettled(reps: DataFrame, label: DataFrame, sets: DataFrame, how: NearDup,
     full = meets.select("key", "p.x", "p.y", "own", "number", "id").join(named, "id")
 
     def columns(group: pa.Table) -> tuple:
-        sig = np.ascontiguousarray(_matrix(pa.concat_arrays(group.column("sig").chunks), hashes).T)
-        return sig, *(np.asarray(group.column(c)) for c in ("n", "label", "own", "id")), group.column("number")[0].as_py()
+        sig = _matrix(pa.concat_arrays(group.column("sig").chunks), hashes)
+        value = _values(sig, how)
+        one, two = divmod(group.column("number")[0].as_py(), how.tables)
+        before = np.concatenate((value[:, 0, :one], value[:, 1, :two]), axis=1)
+        return *(np.ascontiguousarray(x.T) for x in (sig, before)), *(np.asarray(group.column(c)) for c in ("n", "label", "own", "id"))
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "x", "y")):
-            sig, n, label, own, _, number = columns(group)
+            sig, before, n, label, own, _ = columns(group)
             hit = np.zeros(len(n), bool)
             for i in range(len(n) - 1):
-                at, _ = _alike(sig, n, label, own, i, number, how)
+                at, _ = _alike(sig, before, n, label, own, i, how)
                 if again and n[i] <= HEAD:
                     at = at[n[at] > HEAD]
                 hit[at] = True
@@ -320,7 +328,7 @@ def _unsettled(reps: DataFrame, label: DataFrame, sets: DataFrame, how: NearDup,
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "x", "y")):
-            sig, n, label, own, ident, number = columns(group)
+            sig, before, n, label, own, ident = columns(group)
             heads = [h for chunk in group.column("head").chunks for data, at in [utf8(chunk)] for h in np.split(data[at[0] : at[-1]].view(np.uint64), (at[1:-1] - at[0]) // 8)]
             _, team = np.unique(label, return_inverse=True)
             longer, out = n > HEAD, []
@@ -330,7 +338,7 @@ def _unsettled(reps: DataFrame, label: DataFrame, sets: DataFrame, how: NearDup,
                 for i in range(len(n) - 1):
                     if longer[i] and not guessed:
                         continue
-                    at, agree = _alike(sig, n, label, own, i, number, how)
+                    at, agree = _alike(sig, before, n, label, own, i, how)
                     at = at[np.argsort(-agree, kind="stable")]
                     at = at[(longer[at] | longer[i]) == guessed]
                     step = 8
