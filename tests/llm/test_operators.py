@@ -58,6 +58,20 @@ def shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
 
 
+def linked(sets):
+    """Smallest id reachable over pairs of similarity 0.8 or more, by comparing all pairs until nothing changes."""
+    label = {i: i for i, _ in sets if i is not None}
+    changed = True
+    while changed:
+        changed = False
+        for i, x in sets:
+            for j, y in sets:
+                if i is not None and j is not None and x and y and 100 * len(x & y) >= 80 * len(x | y) and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, width):
     base, r = texts(25), random.Random(5)
@@ -69,15 +83,7 @@ def test_near_duplicates_equal_brute_force(spark, width):
         rows.append((200 + i, " ".join(words)))
     rows += [(3, base[3]), (300, base[3].upper())]
     sets = [(i, shingles(t, width)) for i, t in rows]
-    label = {i: i for i, _ in sets if i is not None}
-    changed = True
-    while changed:
-        changed = False
-        for i, x in sets:
-            for j, y in sets:
-                if i is not None and j is not None and x and y and 100 * len(x & y) >= 80 * len(x | y) and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
+    label = linked(sets)
     got = neardup.near_duplicates(docs(spark, rows), how=neardup.NearDup(width=width)).collect()
     assert len(got) == len(rows)
     assert {r.id: r.component_id for r in got if r.id is not None} == label
@@ -86,6 +92,22 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_sets_longer_than_a_head(spark):
+    """Variants of one long text around the threshold, so that guesses from samples are refuted and made again."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(100_000)}" for _ in range(neardup.HEAD + 900)]
+    rows = [(500, " ".join(base[:400]))]
+    for i in range(40):
+        words = list(base)
+        for at in r.sample(range(len(words)), 60 + 2 * i):
+            words[at] = f"v{i}x{at}"
+        rows.append((r.randrange(10**6), " ".join(words)))
+    label = linked([(i, shingles(t, 2)) for i, t in rows])
+    assert 2 < len(set(label.values())) < len(rows)
+    got = neardup.near_duplicates(docs(spark, rows), how=neardup.NearDup(width=2)).collect()
+    assert {x.id: x.component_id for x in got} == label
+
+
 def test_components_follow_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 400), (7, 7), (None, 3)], "a long, b long")
     assert {(r.id, r.label) for r in components(links).collect()} == {(i, 0) for i in range(301)} | {(400, 400), (500, 400)}
