@@ -17,16 +17,45 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
+#: Characters of an IBAN by country.
+IBAN_SIZES = dict(
+    zip(*[iter("AD 24 AE 23 AL 28 AT 20 AZ 28 BA 20 BE 16 BG 22 BH 22 BI 27 BR 29 BY 28 CH 21 CR 22 CY 28 CZ 24 DE 22 DJ 27 DK 18 DO 28 EE 20 EG 29 ES 24 FI 18 FK 18 FO 18 FR 27 GB 22 GE 22 GI 23 GL 18 GR 27 GT 28 HN 28 HR 21 HU 28 IE 22 IL 23 IQ 23 IS 26 IT 27 JO 30 KW 30 KZ 20 LB 28 LC 32 LI 21 LT 20 LU 20 LV 21 LY 25 MC 27 MD 24 ME 22 MK 19 MN 20 MR 27 MT 31 MU 30 NI 28 NL 18 NO 15 OM 23 PK 24 PL 28 PS 29 PT 25 QA 29 RO 24 RS 22 RU 33 SA 24 SC 31 SD 18 SE 24 SI 19 SK 24 SM 27 SO 23 ST 25 SV 28 TL 23 TN 24 TR 26 UA 29 VA 22 VG 24 XK 20 YE 30".split())] * 2)
+)
+#: Digits after the country code where that number is fixed; a trunk 0 in parentheses may come before them.
+PHONE_SIZES = {7: 10, 31: 9, 33: 9, 34: 9, 41: 9, 44: 10, 45: 8, 47: 8, 48: 9, 61: 9, 91: 10}
+
+
+def _iban_form() -> str:
+    """The country's own length first, the general form for what has another one."""
+    sizes: dict[int, list[str]] = {}
+    for country, size in IBAN_SIZES.items():
+        sizes.setdefault(int(size), []).append(country)
+    own = [f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in sorted(sizes.items())]
+    return f"(?:{'|'.join(own)})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{OTHER})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{OTHER})[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+
+
 #: What a match can be, in this order at any place of a text.
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9])"
 LOCAL_PHONE = r"\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])|[2-9][0-9]{2}[.\-][2-9][0-9]{2}[.\-][0-9]{4}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
-CARD = r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-VALUE = "(?<![A-Za-z0-9._%+\\-@])(?:" + "|".join((MAIL, IBAN)) + ")|(?:" + PHONE + ")|(?<![0-9.+\\-])(?:" + "|".join((LOCAL_PHONE, SSN, IPV4, DATE)) + ")|(?<![0-9])(?:" + CARD + ")"
+PLAIN = r"(?<![0-9.+\-])(?:" + "|".join((LOCAL_PHONE, SSN, IPV4, DATE)) + ")"
+NOT_MAIL = r"(?<![A-Za-z0-9._%+\-@])"
+#: Starts of other values, at which a run of numbers ends.
+OTHER = f"{PLAIN}|{NOT_MAIL}{MAIL}"
+#: Numbers apart by one blank or hyphen each; ``_cards`` looks for the cards among them.
+TAIL = f"(?:[ \\-](?!{OTHER})[0-9]++)*+"
+RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++" + TAIL
+#: Usual groups of card numbers as lengths, and how many numbers each has, in the order in which they are tried.
+CARD_GROUPS = {4: "4-4-4-4", 3: "4-6-[45]", 1: "1[3-9]", 5: "4-4-4-4-[1-3]"}
+CARD = r"[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}(?![0-9])|[0-9]{13,19}(?![0-9])"
+IBAN = _iban_form()
+_FIXED = [r"1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"] + [f"{c}[ .\\-]?(?:\\(0\\)[ .\\-]?)?\\(?[0-9]\\)?(?:[ .\\-]?\\(?[0-9]\\)?){{{n - 1}}}" for c, n in PHONE_SIZES.items()]
+PHONE = rf"\+(?!{CARD})(?:(?:{'|'.join(_FIXED)})(?![0-9])|[0-9]{{1,3}}(?:[ .\-]?(?!(?<= )(?:{CARD}|{DATE}))\(?[0-9]{{1,5}}\)?){{2,6}}(?![0-9]))"
+#: As much of a longer general phone match as a phone number can have.
+PHONE_HEAD = r"^\+[0-9](?:[ .\-]?\(?[0-9]\)?){7,14}(?![0-9])"
+VALUE = f"{NOT_MAIL}(?:{MAIL}|(?:{IBAN}){TAIL})|(?:{PHONE})|{PLAIN}|(?<![0-9])(?:{RUN})"
 #: Shares of a value's digits or letters that are permuted at once.
 BLOCK = 18
 
@@ -120,6 +149,73 @@ def _card(m: Column, key: str) -> Column:
     return _bound(_digits(m), replaced)
 
 
+def _cards(m: Column, key: str) -> Column:
+    """Array of (old, new) pieces of a run of numbers: valid cards between what stays.
+
+    At every number the usual groups are tried; where none of them is valid in the whole run, every length of 13 to 19
+    digits from its first number on, longest first.
+    """
+
+    def of(s: Column) -> Column:
+        words, gaps, n = s["words"], s["gaps"], F.size(s["words"])
+
+        def digits(i: Column, k: Column) -> Column:
+            return F.array_join(F.slice(words, i, k), "")
+
+        def apart(i: Column, k: Column) -> Column:
+            return (i + k - 1 <= n) & F.forall(F.slice(gaps, i + 1, k - 1), lambda g: g.isin(" ", "-"))
+
+        def valid(i: Column, k: Column) -> Column:
+            return _bound(digits(i, k), lambda d: F.length(d).between(13, 19) & (F.pmod(_luhn(d), F.lit(10)) == 0))
+
+        def usual(i: Column) -> Column:
+            def shaped(k: Column) -> Column:
+                sizes = F.array_join(F.transform(F.slice(words, i, k), lambda w: F.length(w).cast("string")), "-")
+                return apart(i, k) & sizes.rlike("^(?:" + "|".join(CARD_GROUPS.values()) + ")$") & valid(i, k)
+
+            return F.get(F.filter(F.array(*[F.lit(k) for k in CARD_GROUPS]), shaped), F.lit(0))
+
+        span = lambda i, k: F.struct(i.cast("int").alias("i"), k.cast("int").alias("k"))
+        places = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: span(i, usual(i))), lambda h: h["k"].isNotNull())
+        longest = F.get(F.filter(F.sequence(F.least(n, F.lit(19)), F.lit(1), F.lit(-1)), lambda k: apart(F.lit(1), k) & valid(F.lit(1), k)), F.lit(0))
+
+        def chosen(hits: Column) -> Column:
+            whole = F.when(longest.isNotNull(), F.array(span(F.lit(1), longest))).otherwise(F.filter(hits, lambda _: F.lit(False)))
+
+            # Earlier cards first; one that overlaps a chosen one is left out.
+            def step(a: Column, h: Column) -> Column:
+                last = F.get(a, F.size(a) - 1)
+                return F.when((F.size(a) == 0) | (h["i"] >= last["i"] + last["k"]), F.concat(a, F.array(h))).otherwise(a)
+
+            return F.when(F.size(hits) > 0, F.aggregate(hits, F.filter(hits, lambda _: F.lit(False)), step)).otherwise(whole)
+
+        def text(i: Column, k: Column) -> Column:
+            """Numbers i to i + k - 1 with the gaps between them."""
+            return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), F.slice(gaps, i + 1, k - 1)), F.slice(words, i, k), lambda g, w: F.concat(g, w)), "")
+
+        def around(a: Column, b: Column) -> Column:
+            """What lies between number a and number b, both left out; the ends of the run at 0 and n + 1."""
+            return F.concat(F.get(gaps, a), F.when(b - a > 1, F.concat(text(a + 1, b - a - 1), F.get(gaps, b - 1))).otherwise(""))
+
+        def pieces(cards: Column) -> Column:
+            def piece(h: Column, j: Column) -> Column:
+                before = F.when(j == 0, F.lit(0)).otherwise(F.get(cards, j - 1)["i"] + F.get(cards, j - 1)["k"] - 1)
+                stay, old = around(before, h["i"]), text(h["i"], h["k"])
+                return F.array(_bound(stay, _same), _bound(old, lambda o: F.struct(o.alias("old"), _card(o, key).alias("new"))))
+
+            last = F.get(cards, F.size(cards) - 1)
+            return F.when(F.size(cards) > 0, F.concat(F.flatten(F.transform(cards, piece)), F.array(_bound(around(last["i"] + last["k"] - 1, n + 1), _same))))
+
+        return _bound(_bound(places, chosen), pieces)
+
+    parts = F.struct(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)).alias("words"), F.split(m, "[0-9]+", -1).alias("gaps"))
+    return F.coalesce(F.when(F.length(_digits(m)) >= 13, _bound(parts, of)), F.array(_same(m)))
+
+
+def _same(m: Column) -> Column:
+    return F.struct(m.alias("old"), m.alias("new"))
+
+
 def _iban(m: Column, key: str) -> Column:
     def replaced(s: Column) -> Column:
         country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s) - 4)
@@ -227,11 +323,26 @@ def _mail(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """What stands for one match of ``VALUE``; the match itself where it is not valid."""
+    """What stands for one match of ``VALUE`` as an array of (old, new) pieces; equal where a piece is not valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
+    one = lambda fresh: F.array(F.struct(m.alias("old"), fresh.alias("new")))
+
+    def headed(head: Column, new: Column) -> Column:
+        """A value at the start of the match and the numbers after it."""
+        rest = F.substring(m, F.length(head) + 1, F.length(m))
+        return F.concat(F.array(F.struct(head.alias("old"), new.alias("new"))), F.when(rest == "", F.array().cast("array<struct<old:string,new:string>>")).otherwise(_bound(rest, lambda r: _cards(r, key))))
+
+    def iban(head: Column) -> Column:
+        return _bound(_iban(head, key), lambda new: F.when(new != head, headed(head, new)).otherwise(_cards(m, key)))
+
+    def phone(head: Column) -> Column:
+        return F.when(head == "", _cards(m, key)).otherwise(headed(head, _phone(head, key)))
+
+    long_phone = m.startswith("+") & (F.length(_digits(m)) > 15)
     return (
-        F.when(m.contains("@"), _mail(m, key)).when(whole(IBAN), _iban(m, key)).when(m.startswith("+") | whole(LOCAL_PHONE), _phone(m, key)).when(whole(SSN), _ssn(m, key))
-        .when(whole(IPV4), _ipv4(m, key)).when(whole(DATE), _date(m, key)).when(whole(CARD), _card(m, key)).otherwise(m)
+        F.when(m.contains("@"), one(_mail(m, key))).when(m.rlike("^[A-Z]"), _bound(F.regexp_extract(m, f"^(?:{IBAN})", 0), iban))
+        .when(long_phone, _bound(F.regexp_extract(m, PHONE_HEAD, 0), phone)).when(m.startswith("+") | whole(LOCAL_PHONE), one(_phone(m, key))).when(whole(SSN), one(_ssn(m, key)))
+        .when(whole(IPV4), one(_ipv4(m, key))).when(whole(DATE), one(_date(m, key))).otherwise(_cards(m, key))
     )
 
 
@@ -246,12 +357,12 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     while found in docs.columns:
         found += "_"
     matches = F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(VALUE), F.lit(0)))
-    fresh = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+    fresh = F.transform(matches, lambda m: pseudonym(m, key))
     rows = docs.withColumn(found, F.when(F.size(matches) > 0, fresh))
     value = F.col(found)
     between = F.split(text, VALUE, -1)
-    joined = F.array_join(F.zip_with(between, F.concat(F.transform(value, lambda v: v["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    joined = F.array_join(F.zip_with(between, F.concat(F.transform(value, lambda v: F.array_join(v["new"], "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = {text_col: F.when(value.isNull(), text).otherwise(joined)}
     if count_col:
-        out[count_col] = F.coalesce(F.size(F.filter(value, lambda v: v["old"] != v["new"])), F.lit(0)).cast("long")
+        out[count_col] = F.coalesce(F.size(F.filter(F.flatten(value), lambda v: v["old"] != v["new"])), F.lit(0)).cast("long")
     return rows.withColumns(out).drop(found)
