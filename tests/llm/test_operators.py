@@ -267,6 +267,22 @@ def test_decontamination(spark):
     assert decontam.leaks(docs(spark, rows), bench.where("false")).count() == 0 and decontam.leaks(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_by_passages(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9)))
+    item, other = [word() for _ in range(400)], [word() for _ in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    part = item[120:270]
+    edited = [w if k % 25 else "changed" for k, w in enumerate(part)]
+    plain = " ".join(word() for _ in range(50))
+    rows = [(1, f"{plain} {' '.join(part)} {plain}"), (2, f"{plain}\n{' '.join(edited).upper()}"), (3, " ".join(item[:200])), (4, " ".join(item[200:])), (5, f"x {' '.join(item)} y"), (6, " ".join(item[50:80])), (7, plain), (8, " ".join(other))]
+    got = {x.doc_id: x for x in decontam.leaks(docs(spark, rows), bench).collect()}
+    assert {i: x.item_id for i, x in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 2}
+    assert (got[5].edits, got[5].start, got[5].end) == (0, 2, len(rows[4][1]) - 2) and got[2].edits > 0
+    assert got[1].edits == 0 and rows[0][1][got[1].start : got[1].end] in " ".join(item) and got[1].end - got[1].start == decontam.PASSAGE
+    assert {x.doc_id for x in decontam.clean(docs(spark, rows), bench).collect()} == {6, 7}
+
+
 def test_pseudonyms(spark):
     rows = [
         (1, "a.b1@x.com 4111 1111 1111 1111 4111111111111112 +1 (988) 555-2485"), (2, "42.144.35.254, 999.1.1.1 2024-02-29 31/12/1999 30.02.2020"), (3, "DE89370400440532013000 123-45-6789 666-12-1234 42.144.35.254"),

@@ -5,8 +5,11 @@ and their places differ by a shift that drifts by e at most. So shared q-grams a
 overlapping band of shifts (2 (e + 1) wide, every e + 1), bands that reach the bound are kept, and a banded alignment of
 the region decides. The count cannot miss an occurrence; repeats can only add regions.
 
+An item longer than ``PASSAGE`` is also looked for by its overlapping passages of that length, each with its own budget,
+so a copy of a part of it is found; the whole item comes first.
+
 Characters are compared without case and with runs of white space as one blank. The edit budget is a share of the
-item's length. The benchmark goes through in slices of bounded size (each a broadcast and a pass over the documents);
+length looked for, and for less than 40 characters at most what leaves a shared q-gram: (n - 8) // 8. The benchmark goes through in slices of bounded size (each a broadcast and a pass over the documents);
 documents are never shuffled for the search.
 """
 
@@ -23,7 +26,9 @@ from turnloom.llm.arrow import splits
 
 Q = 8
 EDIT_SHARE = 0.1
-#: Characters of benchmark text in a slice; a single longer item is a slice of its own.
+#: Characters of a passage of a longer item and between the starts of two; a copied part of PASSAGE + STEP - 1 holds one.
+PASSAGE, STEP = 512, 128
+#: Characters of benchmark text (with passages) in a slice; a single longer item is a slice of its own.
 SLICE_CHARS = 1 << 21
 _BITS = 20
 _PLAIN = np.arange(0x3000, dtype=np.uint32)
@@ -70,9 +75,11 @@ def _cell(grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Slice:
-    """q-gram index of some items."""
+    """q-gram index of some items and their passages; ``owner`` is the item of each text, ``whole`` tells items."""
 
     names: list
+    owner: np.ndarray
+    whole: np.ndarray
     texts: list[np.ndarray]
     edits: np.ndarray
     need: np.ndarray
@@ -85,21 +92,31 @@ class Slice:
     short: list[int]
 
 
+def passages(points: np.ndarray) -> list[np.ndarray]:
+    """The item itself, then its passages; the last one ends with the item."""
+    last = len(points) - PASSAGE
+    return [points] + ([points[a : a + PASSAGE] for a in [*range(0, last, STEP), last]] if last > 0 else [])
+
+
 def build_slice(items: list[tuple[object, np.ndarray]], q: int, share: float) -> Slice:
-    size = np.array([len(t) for _, t in items], np.int64)
+    parts = [passages(t) for _, t in items]
+    owner = np.repeat(np.arange(len(items)), [len(p) for p in parts])
+    whole = np.append([True], owner[1:] != owner[:-1])
+    texts = [t for p in parts for t in p]
+    size = np.array([len(t) for t in texts], np.int64)
     # An item with room for no edit is found by its exact q-grams; one shorter than q is looked for as it is.
     edits = np.maximum(0, np.minimum((size * share).astype(np.int64), (size - q) // q))
     need = np.maximum(1, size - q + 1 - q * edits)
-    all_grams = [_grams(t, q) for _, t in items]
+    all_grams = [_grams(t, q) for t in texts]
     grams = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(items)), [len(g) for g in all_grams])
+    item = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams])
     place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else np.zeros(0, np.int64)
     order = np.argsort(grams, kind="stable")
     grams, item, place = grams[order], item[order], place[order]
     distinct, first = np.unique(grams, return_index=True)
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[_cell(distinct)] = True
-    return Slice([n for n, _ in items], [t for _, t in items], edits, need, size, distinct, np.append(first, len(grams)), item, place, bitmap, np.flatnonzero(size < q).tolist())
+    return Slice([n for n, _ in items], owner, whole, texts, edits, need, size, distinct, np.append(first, len(grams)), item, place, bitmap, np.flatnonzero(size < q).tolist())
 
 
 def _alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
@@ -127,11 +144,12 @@ def _alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int,
 
 
 def _found(points: np.ndarray, index: Slice, q: int) -> dict[int, tuple[int, int, int]]:
-    """Best (edits, start, end) by item for one normalised text."""
+    """Best (edits, start, end) by item for one normalised text: of the whole item, else of its passages."""
     out: dict[int, tuple[int, int, int]] = {}
+    complete: set[int] = set()
     for i in index.short:
         if index.size[i] and (hit := _alignment(index.texts[i], points, 0)):
-            out[i] = hit
+            out[int(index.owner[i])] = hit
     grams = _grams(points, q)
     at = np.flatnonzero(index.bitmap[_cell(grams)])
     if not len(at):
@@ -143,7 +161,7 @@ def _found(points: np.ndarray, index: Slice, q: int) -> dict[int, tuple[int, int
     where = np.repeat(index.first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
     item = index.item[where]
     # An item that falls short over the whole text does so in every band.
-    enough = (np.bincount(item, minlength=len(index.names)) >= index.need)[item]
+    enough = (np.bincount(item, minlength=len(index.texts)) >= index.need)[item]
     if not enough.any():
         return out
     at, item, place = np.repeat(at, count)[enough], item[enough], index.place[where[enough]]
@@ -153,14 +171,17 @@ def _found(points: np.ndarray, index: Slice, q: int) -> dict[int, tuple[int, int
     keys, total = np.unique(key, return_counts=True)
     for k in keys[total >= index.need[keys >> 40]].tolist():
         i, b = k >> 40, (k & ((1 << 40) - 1)) - (1 << 38)
-        e, n = int(index.edits[i]), int(index.size[i])
-        if i in out and out[i][0] == 0:
+        e, n, own, whole = int(index.edits[i]), int(index.size[i]), int(index.owner[i]), bool(index.whole[i])
+        # Keys come by text, so a whole item is settled before its passages.
+        if own in complete and not whole or whole and own in out and out[own][0] == 0:
             continue
         low = max(0, b * (e + 1) - e)
         hit = _alignment(index.texts[i], points[low : max(low, (b + 2) * (e + 1) + n + e)], e)
         if hit:
             hit = hit[0], hit[1] + low, hit[2] + low
-            out[i] = min(out.get(i, hit), hit)
+            out[own] = min(out.get(own, hit), hit)
+            if whole:
+                complete.add(own)
     return out
 
 
@@ -169,19 +190,20 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str, q: int, share: floa
     held, chars = [], 0
     for name, text in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         points, _ = normalised(text)
-        if held and chars + len(points) > SLICE_CHARS:
+        more = sum(map(len, passages(points)))
+        if held and chars + more > SLICE_CHARS:
             yield build_slice(held, q, share)
             held, chars = [], 0
         if len(points):
             held.append((name, points))
-            chars += len(points)
+            chars += more
     if held:
         yield build_slice(held, q, share)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): one row per document row and item that it holds, with the best region
-    (fewest edits, then leftmost) in code points of the whole text.
+    """(doc_id, item_id, start, end, edits): one row per document row and item that it holds, whole or a passage,
+    with the best region (of the whole item if that is there; fewest edits, then leftmost) in code points of the whole text.
 
     Null and empty texts hold nothing; repeated rows are reported each; an empty benchmark or table gives no row.
     """
