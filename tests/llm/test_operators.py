@@ -218,6 +218,23 @@ def test_main_text(spark):
     assert got == {(1, len(want)), (2, 0), (3, 0), (None, 10), (1, 0), (4, 9)}
 
 
+def test_main_text_inside_forms_and_named_parts():
+    lines = [f"Paragraph {i}, long enough, to count for something, in the tree of a page with several of them." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    menu = "<div class='menu'><a href=a>one</a> <a href=b>two</a></div>"
+    fields = "<form><label>Mail</label><input name=m><p>Leave us your mail, please</p></form>"
+    asp = f"<body><form id='aspnetForm'><input type='hidden' name='v' value='x'>{menu}<input name='q'><div class='text'><h1>Head</h1>{body}</div></form></body>"
+    assert maintext.main_text(asp) == "\n".join(["Head", *lines])
+    for around in ("<div class='paywall'>%s</div>", "<div class='elementor-widget'>%s</div>", "<section id='has-comments'>%s</section>", "<div class='ad-layout'>%s</div>"):
+        assert maintext.main_text(f"<body>{menu}{around % (f'<h1>Head</h1>{body}' + fields)}</body>") == "\n".join(["Head", *lines]), around
+    head = f"<body>{menu}<article><h2 id='login'>Login</h2><p id='share'>{lines[0]}</p><section id='related-work'><h2>Related work</h2><p>{lines[1]}</p></section>{body}"
+    cut = "<div class='related'><a href=a>Some other article, which is long</a><a href=b>And one more of them, which is longer still</a></div>"
+    comments = "<section id='comments'>" + "".join(f"<p>Reader {i} says, something long, and full of commas, under the article of the page.</p>" for i in range(5)) + "</section>"
+    want = ["Login", lines[0], "Related work", lines[1], *lines]
+    assert maintext.main_text(f"{head}{cut}{fields}</article>{comments}</body>") == "\n".join(want)
+    assert maintext.main_text(f"<body><div class='content'>{body}{comments}<div class='cookie-notice'><p>{lines[0]}</p></div></div></body>") == "\n".join(lines)
+
+
 def test_prefix_trees(spark):
     r, rows = random.Random(8), []
     for c in range(40):

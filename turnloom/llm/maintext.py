@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
-Tags are read into a light tree; menus, headers, footers, asides, forms, notices, adverts, comments and invisible parts
-are cut. Every text block passes points (one, one per comma, up to three for length, less its share of link text) to its
+Tags are read into a light tree; menus, headers, footers, asides and invisible parts are cut. Forms and what a class or
+id names as notice, advert, comments and the like are cut if their own text is poor or not the page's main part. Every text block passes points (one, one per comma, up to three for length, less its share of link text) to its
 container, half to the next and ever less further up. The best container, or the article element around it, is kept with
 those siblings that score at least a fifth as much or are long plain paragraphs.
 """
@@ -19,36 +19,46 @@ from turnloom.llm.arrow import splits
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_UNSEEN = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-_CUT = frozenset("nav footer aside form button select dialog svg math canvas object audio video fieldset menu head input label".split())
+_CUT = frozenset("nav footer aside button select dialog svg math canvas object audio video menu head input label".split())
+#: Cut by ``_decide`` only, like what has a cut word.
+_FORMS = frozenset("form fieldset".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEP = frozenset("html body main article".split())
 _CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paywall popup promo promotion promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: What these words name is left out however much plain text it has, unless it is the page's main part.
+_STRICT_WORDS = _COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising adsense consent cookie cookies gdpr newsletter sidebar sponsor sponsored".split())
 _GOOD_WORDS = frozenset("article body content entry main post story text".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 _SCOPE = frozenset("table ul ol dl div section article main body html blockquote".split())
+#: Plain characters under which a named part or form is poor, and those that it needs for each input field.
+_POOR, _FIELD = 80, 150
 _SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
 class _Node:
-    __slots__ = ("tag", "above", "points", "cut", "block", "chars", "links", "link_chars", "words")
+    __slots__ = ("tag", "above", "points", "cut", "block", "chars", "links", "link_chars", "words", "soft", "inner", "over", "strict", "comments", "plain", "linked", "own", "fields", "main", "kept")
 
     def __init__(self, tag: str, above: _Node | None, attributes: str):
         self.tag, self.above, self.points, self.chars, self.links, self.link_chars = tag, above, 0.0, 0, 0, 0
         self.block, self.words = tag in _BLOCK, frozenset()
+        # The nearest form or named part that this is or lies in, and whether an article lies between.
+        self.soft, self.inner = (above.soft, above.inner) if above else (None, False)
         self.cut = bool(above and above.cut) or tag in _CUT
         role = ""
         for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name in ("class", "id"):
+            if name == "class" or name == "id" and tag != "p":
                 self.words |= {w.lower() for w in _WORD.findall(value)}
             elif name == "role":
                 role = value.lower()
@@ -56,10 +66,17 @@ class _Node:
                 self.cut = True
         if tag not in _KEEP:
             named = self.words & _CUT_WORDS
-            if role in _CUT_ROLES or named and (named & _COMMENT_WORDS or not self.words & _GOOD_WORDS):
+            if role in _CUT_ROLES - {"form", "dialog"}:
                 self.cut = True
+            named = named if tag not in _HEADINGS and (named & _COMMENT_WORDS or not self.words & _GOOD_WORDS) else frozenset()
+            if not self.cut and (named or tag in _FORMS or role in ("form", "dialog")):
+                self.over, self.soft, self.inner = self.soft, self, False
+                self.strict, self.comments = bool(named & _STRICT_WORDS), bool(named & _COMMENT_WORDS)
+                self.plain = self.linked = self.own = self.fields = self.main = 0
             if tag == "header" and not self.inside("article"):
                 self.cut = True
+        elif tag in ("article", "main"):
+            self.inner = not self.words & _COMMENT_WORDS
 
     def inside(self, *tags: str) -> bool:
         at = self.above
@@ -70,20 +87,44 @@ class _Node:
         return False
 
 
+def _decide(parts: list[_Node]) -> None:
+    """Sets ``kept`` of forms and named parts, given in page order; ``free`` is the plain text so far outside them.
+
+    Rich ones are kept: enough plain text for their links and fields. Those of strict words are kept only as the main
+    part: more plain text than all that is free, and for comments more in an article or hardly any free text.
+    """
+    for part in reversed(parts[1:]):
+        part.plain += part.own
+        if part.over is not None:
+            part.over.plain, part.over.linked, part.over.fields, part.over.main = part.over.plain + part.plain, part.over.linked + part.linked, part.over.fields + part.fields, part.over.main + part.main
+    free = parts[0].own
+    for part in parts[1:]:
+        rich = part.plain >= _POOR and part.linked <= part.plain / 2
+        if part.comments:
+            main = part.main > free or free < _POOR
+        else:
+            main = part.plain > free
+        part.kept = (part.over is None or part.over.kept) and rich and (main or not part.strict and part.plain >= _FIELD * part.fields)
+        if part.kept:
+            free += part.own
+
+
 def _blocks(page: str) -> list[tuple[str, int, _Node]]:
     """(text, characters of it inside links, container) of every block in page order; cut parts are left out."""
     at, node, found = 0, _Node("html", None, ""), []
-    text: list[str] = []
-    linked, anchor = 0, 0
+    text: list[tuple[str, int, _Node | None]] = []
+    anchor = 0
     lower = None
+    # What lies in no form or named part counts for the root.
+    root = node
+    root.own = 0
+    parts = [root]
 
     def close_block() -> None:
-        nonlocal text, linked
+        nonlocal text
         if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                found.append((joined, min(linked, len(joined)), holder(node)))
-            text, linked = [], 0
+            found.append((text, holder(node)))
+            text = []
 
     def holder(n: _Node) -> _Node:
         while not n.block and n.above is not None:
@@ -91,12 +132,16 @@ def _blocks(page: str) -> list[tuple[str, int, _Node]]:
         return n
 
     def add(raw: str) -> None:
-        nonlocal linked
         if raw and not node.cut:
             piece = html.unescape(raw) if "&" in raw else raw
-            text.append(piece)
-            if anchor:
-                linked += len(" ".join(piece.split()))
+            size, part = len(" ".join(piece.split())), node.soft
+            text.append((piece, size if anchor else 0, part))
+            if not anchor:
+                (part or root).own += size
+                if part is not None and node.inner:
+                    part.main += size
+            elif part is not None:
+                part.linked += size
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -127,6 +172,8 @@ def _blocks(page: str) -> list[tuple[str, int, _Node]]:
                 at = len(page)
                 break
             at = page.find(">", end) + 1 or len(page)
+            if tag == "textarea" and node.soft is not None:
+                node.soft.fields += 1
             continue
         if tag == "br":
             add(" ")
@@ -134,6 +181,8 @@ def _blocks(page: str) -> list[tuple[str, int, _Node]]:
         if tag in _VOID:
             if tag == "hr":
                 close_block()
+            elif tag == "input" and node.soft is not None and not _UNSEEN.search(m[3]):
+                node.soft.fields += 1
             continue
         if tag in _BLOCK:
             close_block()
@@ -147,11 +196,22 @@ def _blocks(page: str) -> list[tuple[str, int, _Node]]:
                     anchor -= node.tag == "a"
                     node = node.above
         node = _Node(tag, node, m[3])
+        if node.soft is node:
+            parts.append(node)
+        elif tag == "select" and node.soft is not None:
+            node.soft.fields += 1
         anchor += tag == "a"
     if at < len(page):
         add(page[at:])
     close_block()
-    return found
+    _decide(parts)
+    blocks = []
+    for pieces, box in found:
+        pieces = [x for x in pieces if x[2] is None or x[2].kept]
+        joined = " ".join("".join(x[0] for x in pieces).split())
+        if joined:
+            blocks.append((joined, min(sum(x[1] for x in pieces), len(joined)), box))
+    return blocks
 
 
 def main_text(page: str) -> str:
