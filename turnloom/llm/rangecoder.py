@@ -1,12 +1,12 @@
-"""Adaptive context-mixing range coder for token ids, for many lanes in step.
+"""Adaptive escape range coder for token ids, for many lanes in step.
 
 A block is cut into lanes of equal length. All lanes share one model and advance together: the ids at one position of
 every lane are coded with the model as it was before that position, then the model learns them. So a block adapts like
 a sequential coder while each step is a handful of NumPy operations. Blocks start from an empty model.
 
-The probability of an id mixes three predictions: the id last seen after the two ids before it (order 2), after the one
-before it (order 1), and adaptive id counts (order 0). The weights are adaptive counts of which prediction held, per
-confidence of the two contexts and their agreement.
+An id is coded by one of three predictions, not by a mixture of them: the id last seen after the two ids before it (order 2), after the one
+before it (order 1), and adaptive id counts (order 0). Which one holds is coded first, by adaptive counts per confidence
+of the two contexts and their agreement; the id itself follows only for order 0.
 """
 
 from __future__ import annotations
