@@ -23,5 +23,5 @@ def test_stages(spark):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnloom.llm import chattree, decontam, maintext, neardup, packing, pii, tokenfiles, topk, toxicity, warc
+from turnloom.llm import alignment, chattree, decontam, maintext, neardup, packing, pii, tokencount, tokenfiles, topk, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -82,3 +83,13 @@ def op9_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf, "documents"), BYTE_BPE)
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)
