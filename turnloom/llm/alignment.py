@@ -55,7 +55,8 @@ class Parts(dict):
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte = {letter: code for code, letter in _byte_letters().items()}
+        self.model, self.letters = self.a.model, _byte_letters()
+        byte = {letter: code for code, letter in self.letters.items()}
         names = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
@@ -69,20 +70,28 @@ class Parts(dict):
         self.strings = pa.array([f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(table))])
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, table), np.int64, len(table)) for table in (self.a_bytes, self.b_bytes))
 
-    def __missing__(self, part: str) -> tuple[bytes, bytes] | None:
-        a = self.a.encode(" " + part, add_special_tokens=False).ids
-        # Alone, the library gives nothing for the empty text; here it is the blank at the end of a text.
-        b = self.b.encode(part) if part else self.blank
-        data = (" " + part).encode()
-        same = data == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b))
-        if len(self) >= KEPT:
+    def learn(self, parts: list[str]) -> None:
+        """Take in new parts, all at once: the libraries are quicker with many."""
+        if len(self) + len(parts) > KEPT:
             self.clear()
-        found = self[part] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
-        return found
+        words = [p for p in parts if p.isalpha()]
+        others = [p for p in parts if not p.isalpha()]
+        # A blank and letters are one piece to A's pattern, so they go straight to its merges.
+        a = [[t.id for t in self.model.tokenize((" " + w).encode().decode("latin-1").translate(self.letters))] for w in words]
+        a += [e.ids for e in self.a.encode_batch_fast([" " + p for p in others], add_special_tokens=False)]
+        # Alone, B's library gives nothing for the empty text; here it is the blank at the end of a text.
+        for part, of_a, of_b in zip(words + others, a, self.b.encode(words + others, num_threads=1)):
+            of_b = of_b if part else self.blank
+            same = (" " + part).encode() == b"".join(map(self.a_bytes.__getitem__, of_a)) == b"".join(map(self.b_bytes.__getitem__, of_b))
+            self[part] = (array("I", of_a).tobytes(), array("I", of_b).tobytes()) if same else None
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B for a blank and ``text``; None where the bytes of either differ from it."""
-        found = list(map(self.__getitem__, cuts.CUT.split(text)))
+        cut = cuts.CUT.split(text)
+        distinct = set(cut)
+        if new := [p for p in distinct if p not in self]:
+            self.learn(new if len(self) + len(new) <= KEPT else list(distinct))
+        found = list(map(self.__getitem__, cut))
         if None in found:
             return None
         a, b = (np.frombuffer(b"".join(side), np.uint32).astype(np.int64) for side in zip(*found))
@@ -213,8 +222,11 @@ def _short(parts: Parts, batch: pa.RecordBatch) -> pa.RecordBatch:
     n = batch.num_rows
     sides: list[list[np.ndarray]] = [[], []]
     held = np.zeros((2, n), np.int64)
-    for i, text in enumerate(batch.column("text")):
-        t = text.as_py()
+    texts = batch.column("text").to_pylist()
+    new = {part for t in texts if t for part in cuts.CUT.split(t) if part not in parts}
+    if new:
+        parts.learn(list(new))
+    for i, t in enumerate(texts):
         found = parts.ids(t) if t else None
         for side in (0, 1):
             if found is not None:

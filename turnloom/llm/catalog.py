@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnloom.llm import alignment, chattree, decontam, maintext, neardup, packing, pii, tokencount, tokenfiles, topk, toxicity, warc
+from turnloom.llm import alignment, chattree, decontam, maintext, neardup, packing, pii, spelling, tokencount, tokenfiles, topk, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,11 @@ def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf, "documents"), BYTE_BPE)
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 @query
 def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.alignments(table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)

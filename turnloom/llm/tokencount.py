@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom.llm import cuts
+from turnloom.llm.bpe import _byte_letters
 
 LIMIT = 1024
 #: Counts kept beside the proven strings; when full, the table starts again from the proven ones.
@@ -58,7 +59,8 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"] or {}
@@ -94,7 +96,7 @@ class ByteLevel:
         return [t for t, i, e in zip(texts, ids, alone) if e.ids == [i]]
 
     def _merge(self, piece: str) -> int:
-        return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
 
     def __call__(self, text: str) -> int:
         # Special strings stand apart before anything else is cut; the text after one starts anew.
