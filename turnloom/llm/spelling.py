@@ -27,7 +27,6 @@ from turnloom.sources.sinks import staged
 
 LEAST_LETTERS, LEAST_COUNT, TYPO_EVERY, FORM_TIMES = 6, 5, 199, 5
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Counts kept: a to z, and the other letters in six classes by code point. Sharing a class never moves words apart.
 CLASSES = 32
 #: Words of the sample on which the trees over cells are fitted, and characters of the members in a block.
@@ -35,11 +34,12 @@ SAMPLE, BLOCK_CHARS = 60_000, 1 << 16
 #: Lengths with a tree of their own; the few longer words of a length make one cell.
 TREE_LENGTHS = 64
 #: Members of a leaf inside a block.
-LEAF = 16
+LEAF = 32
 
 
 def _lowered(text: str) -> str:
-    return text.translate(_LOWER)
+    """A-Z in lower case, other letters as they are: what ``bytes.lower`` does to UTF-8."""
+    return text.encode().lower().decode()
 
 
 def planted(ident: int | None, run: str, every: int = TYPO_EVERY) -> str:
@@ -94,6 +94,15 @@ def vectors(words: list[str]) -> np.ndarray:
     return np.bincount(row * CLASSES + cls, minlength=len(words) * CLASSES).reshape(len(words), CLASSES).astype(np.int32)
 
 
+def codes(x: np.ndarray) -> np.ndarray:
+    """Letter counts as 64 bits: whether a count is at least one, and at least two.
+
+    A bit more or less is a count more or less, so bits on one side bound that side of the L1 distance from below.
+    """
+    bits = np.concatenate([x >= 1, x >= 2], axis=1)
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
 def _split(x: np.ndarray) -> tuple[int, int] | None:
     """(dimension, largest count of the left side) of the most even split; None if all vectors are equal."""
     best = None
@@ -242,47 +251,55 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The members of a block, all of one length, as a k-d tree whose nodes carry the box of their members."""
+    """The members of a block, all of one length, as a k-d tree over the codes of their counts.
+
+    A node carries the box of its members: the bits that all of them have and those that any of them has.
+    """
 
     def __init__(self, words: list[str], counts: np.ndarray):
         # Members in code point order, so of equal counts the smaller row is the smaller word.
         order = sorted(range(len(words)), key=words.__getitem__)
         self.words, self.n = [words[i] for i in order], counts[order]
-        self.points, self.x = np.stack(points(self.words)), vectors(self.words)
+        self.points = np.stack(points(self.words))
+        self.codes = codes(vectors(self.words))
         self.root = self._grow(np.arange(len(words)))
 
     def _grow(self, rows: np.ndarray):
-        x = self.x[rows]
-        split = _split(x) if len(rows) > LEAF else None
-        if split is None:
-            return x.min(axis=0), x.max(axis=0), rows, None
-        left = x[:, split[0]] <= split[1]
-        return x.min(axis=0), x.max(axis=0), self._grow(rows[left]), self._grow(rows[~left])
+        own = self.codes[rows]
+        box = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
+        if len(rows) > LEAF and box[0] != box[1]:
+            having = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
+            bit = int(np.argmin(np.abs(2 * having.sum(axis=0, dtype=np.int64) - len(rows))))
+            right = having[:, bit] == 1
+            return *box, self._grow(rows[~right]), self._grow(rows[right])
+        return *box, rows, None
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(probe, member) of all pairs at exactly one edit; the probes have one length."""
-        x, at = vectors(words), np.stack(points(words))
+        x, at = codes(vectors(words)), np.stack(points(words))
         more = self.points.shape[1] - at.shape[1]
         up, down = next((u, d) for m, u, d in _PAIRS if m == more)
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def within(low, here, high):
+            return (np.bitwise_count(low & ~here) <= up) & (np.bitwise_count(here & ~high) <= down)
+
         def walk(node, rows):
             low, high, left, right = node
-            here = x[rows]
-            rows = rows[(np.maximum(0, low - here).sum(axis=1) <= up) & (np.maximum(0, here - high).sum(axis=1) <= down)]
+            rows = rows[within(low, x[rows], high)]
             if not len(rows):
                 return
             if right is not None:
                 walk(left, rows)
                 walk(right, rows)
                 return
-            for piece in np.array_split(rows, -(-len(rows) * len(left) // 100_000)):
-                gap = self.x[left][None] - x[piece][:, None]
-                p, m = np.nonzero((np.maximum(0, gap).sum(axis=2) <= up) & (np.maximum(0, -gap).sum(axis=2) <= down))
-                p, m = piece[p], left[m]
-                for a in range(0, len(p), 20_000):
-                    sure = one_edit(at[p[a : a + 20_000]], self.points[m[a : a + 20_000]])
-                    found.append((p[a : a + 20_000][sure], m[a : a + 20_000][sure]))
+            own = self.codes[left][None]
+            for a in range(0, len(rows), 4096):
+                p, m = np.nonzero(within(own, x[rows[a : a + 4096], None], own))
+                p, m = rows[a + p], left[m]
+                for b in range(0, len(p), 1 << 15):
+                    sure = one_edit(at[p[b : b + (1 << 15)]], self.points[m[b : b + (1 << 15)]])
+                    found.append((p[b : b + (1 << 15)][sure], m[b : b + (1 << 15)][sure]))
 
         walk(self.root, np.arange(len(words)))
         return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
