@@ -30,7 +30,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Counts kept: a to z, and the other letters in six classes by code point. Sharing a class never moves words apart.
 CLASSES = 32
 #: Words of the sample on which the trees over cells are fitted, and characters of the members in a block.
-SAMPLE, BLOCK_CHARS = 60_000, 1 << 16
+SAMPLE, BLOCK_CHARS = 30_000, 1 << 16
 #: Lengths with a tree of their own; the few longer words of a length make one cell.
 TREE_LENGTHS = 64
 #: Members of a leaf inside a block.
@@ -185,13 +185,15 @@ class Cells:
 
 
 def trees(words: DataFrame, sample: int = SAMPLE, block_chars: int = BLOCK_CHARS) -> dict[int, Cells]:
-    """A tree per length of at most ``TREE_LENGTHS``, fitted on ``sample`` words drawn by hash.
+    """A tree per length of at most ``TREE_LENGTHS``, fitted on about ``sample`` words drawn by hash.
 
-    Only the sample and one count per length come to the driver. The number of cells follows the counts.
+    Only the sample (never more than twice as many) and one count per length come to the driver. The number of cells
+    follows the counts.
     """
     sized = words.where(F.length("word") <= TREE_LENGTHS)
     counts = {r["l"]: r["n"] for r in sized.groupBy(F.length("word").alias("l")).agg(F.count("*").alias("n")).collect()}
-    drawn = [r["word"] for r in sized.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    share = 1 << 40 if sum(counts.values()) <= sample else (1 << 40) * sample // sum(counts.values())
+    drawn = [r["word"] for r in sized.select("word").where(F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < share).limit(2 * sample).collect()]
     by_length: dict[int, list[str]] = {}
     for w in drawn:
         by_length.setdefault(len(w), []).append(w)
