@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnloom.config import Budget, PrepConfig
 from turnloom.functions import arrays as A
 from turnloom.functions.text import PREFIX_ROLES, words
-from turnloom.functions.tokens import Vocabulary
+from turnloom.functions.tokens import Dictionary, Vocabulary
 from turnloom.operators.template import GENERIC, ROLES, Template, chat_pair, prefix_length
 
 DEFAULT_WIDTH = 2048
@@ -39,20 +39,13 @@ def _int_map(values: dict[str, int], key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def _id_map(template_side: dict[str, str], template: Template, vocab: Vocabulary, key: Column) -> Column:
+def _id_map(template_side: dict[str, str], template: Template, vocab: Vocabulary | Dictionary, key: Column) -> Column:
     pairs = []
     for role in ROLES:
-        ids = [_token_id(vocab, w) for w in template.marker_words(template_side, role)]
-        pairs += [F.lit(role), F.array(*map(F.lit, ids)).cast("array<int>")]
+        pairs += [F.lit(role), _id_array([vocab.id_of(w) for w in template.marker_words(template_side, role)])]
     return F.element_at(F.create_map(*pairs), key)
 
 
-def _token_id(vocab: Vocabulary, word: str) -> int:
-    from turnloom.functions.tokens import UNK_ID
-
-    return vocab.tokens.index(word) if word in vocab.tokens else UNK_ID
-
-
 def _id_array(ids: list[int]) -> Column:
     return F.array(*map(F.lit, ids)).cast("array<int>")
 
@@ -85,12 +78,12 @@ def _entry(
     return F.struct(*fields)
 
 
-def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabulary | None, budget: Budget) -> DataFrame:
+def encode_turns(turns: DataFrame, key: str, template: Template, vocab: Vocabulary | Dictionary | None, budget: Budget) -> DataFrame:
     """(key, turn, role, entry) of a turn table with ``turn``, ``role``, ``text``."""
     text = F.coalesce("text", F.lit(""))
     split = turns.select(key, "turn", "role", text.alias("text"), words(text).alias("words"))
     if vocab is not None:
-        split = split.withColumn("ids", vocab.ids(F.col("words")))
+        split = vocab.with_ids(split, [key, "turn"], "words", "ids")
     entry = _entry(
         F.col("turn"), F.col("role"), F.col("text"), F.size("words"),
         F.col("ids") if vocab is not None else None, template, vocab, budget,
@@ -131,7 +124,7 @@ def turn_blocks(
     key: str,
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     width: int = DEFAULT_WIDTH,
     long: bool | None = None,
 ) -> DataFrame:
@@ -217,7 +210,7 @@ def nested_blocks(
     keys: list[str],
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     width: int = DEFAULT_WIDTH,
     messages: str = "messages",
 ) -> DataFrame:
@@ -227,7 +220,7 @@ def nested_blocks(
         F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("text"))).alias("m"),
     ).withColumn("w", F.transform("m", lambda m: words(m["text"])))
     if vocab is not None:
-        rows = rows.withColumn("ids", vocab.nested_ids(F.col("w")))
+        rows = vocab.with_ids(rows, keys, "w", "ids")
     entries = F.transform(
         "m",
         lambda m, i: _entry(
@@ -318,7 +311,7 @@ def expand_blocks(
     keys: list[str],
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     cfg: PrepConfig = PrepConfig(),
 ) -> DataFrame:
     """Block rows -> samples.
@@ -402,7 +395,7 @@ def expand_blocks(
     joined = rows.select(
         *base,
         "response",
-        F.concat("head_ids", "history", _id_array([_token_id(vocab, w) for w in gen])).alias("prompt"),
+        F.concat("head_ids", "history", _id_array([vocab.id_of(w) for w in gen])).alias("prompt"),
         F.concat("head_ids", "history", "target_ids").alias("full"),
         F.slice("target_ids", F.lit(skip + 1), F.col("n_response")).alias("answer"),
     )
@@ -425,8 +418,8 @@ def truncated_full(full: Column, prompt_cut: Column, answer: Column) -> Column:
     return F.when(ends, F.concat(prompt_cut, answer)).otherwise(A.tail(full, F.size(prompt_cut) + n))
 
 
-def _head_ids(template: Template, vocab: Vocabulary, lead: list[str]) -> Column:
-    lead_ids = _id_array([_token_id(vocab, w) for w in lead])
+def _head_ids(template: Template, vocab: Vocabulary | Dictionary, lead: list[str]) -> Column:
+    lead_ids = _id_array([vocab.id_of(w) for w in lead])
     if not template.harmony:
         return F.concat(lead_ids, F.flatten(F.transform("head", lambda e: e["ids"])))
     own = F.flatten(
@@ -438,7 +431,7 @@ def _head_ids(template: Template, vocab: Vocabulary, lead: list[str]) -> Column:
         )
     )
     mark = [
-        _id_array([_token_id(vocab, w) for w in template.marker_words(side, "developer")])
+        _id_array([vocab.id_of(w) for w in template.marker_words(side, "developer")])
         for side in (template.prefix, template.suffix)
     ]
     merged = F.concat(lead_ids, mark[0], own, mark[1])
@@ -449,7 +442,7 @@ def expand_turns(
     turns: DataFrame,
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     key: str = "conv_id",
     width: int = DEFAULT_WIDTH,
     long: bool | None = None,
@@ -465,7 +458,7 @@ def expand_nested(
     keys: list[str],
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     width: int = DEFAULT_WIDTH,
     cfg: PrepConfig = PrepConfig(),
 ) -> DataFrame:
@@ -483,7 +476,7 @@ def expand_nested(
     if vocab is None:
         raise ValueError("the harmony family needs a vocabulary")
     late = late_prefix(F.col("messages"))
-    rest = expand_exact(df.where(late), keys, budget, window_texts_encoder(vocab), template, cfg)
+    rest = expand_exact_words(df.where(late), keys, budget, vocab, template, cfg)
     return additive(df.where(~late)).unionByName(rest)
 
 
@@ -611,3 +604,20 @@ def expand_exact(
 def window_texts_encoder(vocab: Vocabulary) -> Callable[[Column], Column]:
     """The word tokenizer in the shape :func:`expand_exact` asks for."""
     return lambda texts: vocab.nested_ids(F.transform(texts, words))
+
+
+def expand_exact_words(
+    df: DataFrame,
+    keys: list[str],
+    budget: Budget,
+    vocab: Vocabulary | Dictionary,
+    template: Template = GENERIC,
+    cfg: PrepConfig = PrepConfig(),
+    min_message_tokens: int | None = None,
+) -> DataFrame:
+    """:func:`expand_exact` with the word tokenizer: windows are chosen on words, and only those of a sample get ids."""
+    samples = expand_exact(df, keys, budget, lambda texts: F.transform(texts, words), template, cfg, None, min_message_tokens)
+    both = samples.withColumn("both", F.array("prompt_ids", "input_ids"))
+    coded = vocab.with_ids(both, [*keys, "turn"], "both", "ids")
+    prompt, full = F.get("ids", F.lit(0)), F.get("ids", F.lit(1))
+    return coded.withColumns({"prompt_ids": prompt, "input_ids": full, "labels": full}).select(*samples.columns)

@@ -12,7 +12,7 @@ from turnloom.config import BatchSpec, Budget, PrepConfig
 from turnloom.functions import arrays as A
 from turnloom.functions import content as C
 from turnloom.functions import text as X
-from turnloom.functions.tokens import PAD_ID, Vocabulary, vocab_table
+from turnloom.functions.tokens import PAD_ID, Dictionary, dictionary_table
 from turnloom.operators import batches as B
 from turnloom.operators import divergence as D
 from turnloom.operators import evaluate as E
@@ -31,7 +31,6 @@ QUERIES: dict[str, Query] = {}
 
 BUDGET = Budget(320, 256)
 SPEC = BatchSpec(max_input=64, max_output=256, pad_id=PAD_ID, batch_size=8)
-VOCAB_SIZE = 4096
 
 
 def query(fn: Query) -> Query:
@@ -60,13 +59,13 @@ def wide6(c: Column | str) -> Column:
     return F.when(F.abs(x) < 1e9, r6(x)).otherwise(x)
 
 
-def vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
-    return Vocabulary.fit(fx.turns(spark, sf), max_size=VOCAB_SIZE)
+def dictionary(spark: SparkSession, sf: str) -> Dictionary:
+    return Dictionary.fit(fx.turns(spark, sf))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Expanded conversations with ids and a sample_id."""
-    out = W.expand_turns(fx.turns(spark, sf), BUDGET, vocab=vocabulary(spark, sf))
+    out = W.expand_turns(fx.turns(spark, sf), BUDGET, vocab=dictionary(spark, sf))
     sample_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return out.withColumn("sample_id", sample_id)
 
@@ -412,13 +411,14 @@ def clean_generated(spark, sf):
 
 @query
 def vocab_build(spark, sf):
-    return vocab_table(fx.turns(spark, sf), max_size=VOCAB_SIZE).select("token", "n", long("id").alias("id"))
+    return dictionary_table(fx.turns(spark, sf)).select("token", "n", long("id").alias("id"))
 
 
 @query
 def tokenize(spark, sf):
-    ids = vocabulary(spark, sf).ids(X.words(F.col("text")))
-    return fx.turns(spark, sf).select("conv_id", "turn", joined(ids).alias("ids"))
+    split = fx.turns(spark, sf).select("conv_id", "turn", X.words(F.col("text")).alias("words"))
+    coded = dictionary(spark, sf).with_ids(split, ["conv_id", "turn"], "words", "ids")
+    return coded.select("conv_id", "turn", joined("ids").alias("ids"))
 
 
 @query
@@ -579,16 +579,15 @@ def expand_samples(spark, sf):
 @query
 def expand_samples_exact(spark, sf):
     """Rendered and tokenised candidates instead of summed lengths; same rows."""
-    encode = W.window_texts_encoder(vocabulary(spark, sf))
     nested = canonical(spark, sf)
-    return sample_rows(W.expand_exact(nested, ["conv_id"], BUDGET, encode, min_message_tokens=T.GENERIC.min_cost))
+    return sample_rows(W.expand_exact_words(nested, ["conv_id"], BUDGET, dictionary(spark, sf), min_message_tokens=T.GENERIC.min_cost))
 
 
 @query
 def prepare_corpus(spark, sf):
     """Source rows to split samples in one job, quarantining nothing."""
     cfg = PrepConfig(eval_size=20, budget=BUDGET)
-    return prepare(fx.sharegpt(spark, sf), "conv_id", cfg, vocab=vocabulary(spark, sf)).select(
+    return prepare(fx.sharegpt(spark, sf), "conv_id", cfg, vocab=dictionary(spark, sf)).select(
         "sample_id", "split", "kind", long("n_prompt").alias("n_prompt"), long("n_full").alias("n_full")
     )
 

@@ -330,7 +330,7 @@ cte(
     "vocab", ("w",),
     f"""SELECT token, n, 7 + row_number() OVER (ORDER BY n DESC, token) AS id FROM (
     SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM w) WHERE token NOT IN {_SPECIAL}
-    GROUP BY token ORDER BY n DESC, token LIMIT 4088)""",
+    GROUP BY token)""",
 )
 cte(
     "ids", ("w", "vocab"),

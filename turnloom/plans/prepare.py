@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom.config import PrepConfig
-from turnloom.functions.tokens import Vocabulary
+from turnloom.functions.tokens import Dictionary, Vocabulary
 from turnloom.operators import normalize as N
 from turnloom.operators.batches import split_exact, split_given
 from turnloom.operators.template import GENERIC, Template
-from turnloom.operators.windows import expand_exact, expand_nested, window_texts_encoder
+from turnloom.operators.windows import expand_exact, expand_exact_words, expand_nested
 from turnloom.sources import sinks
 
 
@@ -19,7 +19,7 @@ def expand_messages(
     df: DataFrame,
     keys: list[str],
     cfg: PrepConfig,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     encode: Callable[[Column], Column] | None = None,
     template: Template = GENERIC,
     max_token_bytes: int | None = None,
@@ -31,16 +31,16 @@ def expand_messages(
     """
     if encode is None and cfg.enable_thinking != "false":
         return expand_nested(df, keys, cfg.budget, template, vocab, cfg=cfg)
-    fewest = template.min_cost if encode is None else None
-    encode = encode or window_texts_encoder(vocab)
-    return expand_exact(df, keys, cfg.budget, encode, template, cfg, max_token_bytes, fewest)
+    if encode is None:
+        return expand_exact_words(df, keys, cfg.budget, vocab, template, cfg, template.min_cost)
+    return expand_exact(df, keys, cfg.budget, encode, template, cfg, max_token_bytes)
 
 
 def prepare(
     source: DataFrame,
     key: str,
     cfg: PrepConfig,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     encode: Callable[[Column], Column] | None = None,
     evaluation: DataFrame | None = None,
     template: Template = GENERIC,
