@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import entry
 from check_oracles import database, difference
 from turnloom.config import Budget, PrepConfig
+from turnloom.functions.schedule import Schedule
 from turnloom.functions.tokens import Vocabulary, text_encoder, tokenizer_file
 from turnloom.operators import folds as S
 from turnloom.operators import normalize as N
@@ -111,16 +112,34 @@ def write_in_turn(df, folder, parts):
         df.where(cond).coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_streamed_schedule_over_many_batches(spark):
-    log = fx.runlog(spark, SF).select("run", "step", "total", "loss").cache()
+@pytest.mark.parametrize("files, width", [(1, 3), (2, 512), (1000, 4)])
+def test_streamed_schedule_in_any_order(spark, files, width):
+    """Shuffled files, the first step last, many triggers or one: the batch result."""
+    log = fx.runlog(spark, SF).where("run < 30").select("run", "step", "total", "loss").cache()
     folder = sinks.work_dir(spark, "log")
-    late = F.col("step") == 1
-    write_in_turn(log, folder, [(F.col("step") < 3) & ~late, F.col("step").between(3, 5), F.col("step") > 5, late])
-    stream = jobs.read_stream(spark, folder, log.schema, files=1)
-    got = jobs.run_to_table(jobs.schedule_stream(stream), "sched").collect()
-    assert {(r.run, r.step) for r in got if r.late} == {(r.run, r.step) for r in log.where(late).collect()}
-    want = {(r.run, r.step): r.t for r in S.interp_schedule(log.where(~late)).collect()}
-    assert {(r.run, r.step): r.t for r in got if not r.late} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    part = F.pmod(F.xxhash64("run", "step"), F.lit(3))
+    write_in_turn(log, folder, [(part == k) & (F.col("step") > 0) for k in (2, 0, 1)] + [F.col("step") == 0])
+    stream = jobs.read_stream(spark, folder, log.schema, files=files)
+    emitted = jobs.run_to_table(jobs.schedule_stream(stream, width=width), "sched")
+    got = jobs.schedule_result(emitted, width=width).collect()
+    want = {(r.run, r.step): r.t for r in S.interp_schedule(log).collect()}
+    assert len(want) > 300 and not any(r.late for r in got)
+    assert {(r.run, r.step): r.t for r in got} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_streamed_schedule_stops_at_a_missing_step(spark):
+    """Steps 10, 20, ... with one missing, one repeated and one off the grid."""
+    rows = [(7, s, 200, 1.0 / s) for s in range(10, 210, 10) if s != 90]
+    odd = [(7, 30, 200, 9.0), (7, 35, 200, 9.0), (7, 0, 200, 9.0)]
+    df = spark.createDataFrame(rows + odd, "run long, step long, total long, loss double")
+    folder = sinks.work_dir(spark, "log")
+    early = (F.col("step") % 20 == 0) & (F.col("step") > 0)
+    write_in_turn(df, folder, [early, (F.col("step") % 20 == 10) & (F.col("loss") < 9), F.col("loss") == 9])
+    emitted = jobs.run_to_table(jobs.schedule_stream(jobs.read_stream(spark, folder, df.schema, files=1), 10, 10, 4), "sched")
+    got = jobs.schedule_result(emitted, Schedule(alpha=0.1), 10, 10, 4).collect()
+    assert sorted(r.step for r in got if r.late) == [0, 30, 35]
+    want = {r.step: r.t for r in S.interp_schedule(df.where("loss < 9 AND step < 90"), alpha=0.1).collect()}
+    assert {r.step: r.t for r in got if not r.late} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
 
 
 def test_streamed_buffer_over_many_batches(spark):

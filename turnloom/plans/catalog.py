@@ -856,4 +856,4 @@ def stream_interp_schedule(spark, sf):
     folder = sinks.work_dir(spark, "runlog")
     log.write.parquet(folder)
     emitted = jobs.run_to_table(jobs.schedule_stream(jobs.read_stream(spark, folder, log.schema)), "schedule")
-    return emitted.select("run", "step", r6("t").alias("t"), wide6("momentum").alias("momentum"), "late")
+    return jobs.schedule_result(emitted).select("run", "step", r6("t").alias("t"), wide6("momentum").alias("momentum"), "late")

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from turnloom.config import Budget
 from turnloom.functions.schedule import Schedule
-from turnloom.functions.tokens import Vocabulary
+from turnloom.functions.tokens import Dictionary, Vocabulary
+from turnloom.operators.folds import interp_schedule
 from turnloom.operators.sampling import CAPACITY
 from turnloom.operators.template import GENERIC, Template
 from turnloom.operators.windows import DEFAULT_WIDTH, expand_nested
 from turnloom.sources.sinks import work_dir
 
+#: Steps of a run that one state key puts in order.
+BLOCK = 512
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,7 +52,7 @@ def expand_stream(
     keys: list[str],
     budget: Budget,
     template: Template = GENERIC,
-    vocab: Vocabulary | None = None,
+    vocab: Vocabulary | Dictionary | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Sample expansion of arriving nested conversations: stateless, no shuffle."""
@@ -102,46 +106,77 @@ def replay_result(emitted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return replay_keep(distinct, ["step", "item"], capacity, shard="shard")
 
 
-class _Schedule(StatefulProcessor):
-    """Carries (step, loss, momentum, t) of one run."""
+class _InOrder(StatefulProcessor):
+    """Lets the steps of one (run, block) pass in order: ``front`` is the next place, ``waiting`` what came too early."""
 
-    schema = StructType(
-        [StructField("step", LongType())] + [StructField(n, DoubleType()) for n in ("loss", "momentum", "t")]
-    )
+    held = StructType([StructField("place", LongType()), StructField("step", LongType()), StructField("total", LongType()), StructField("loss", DoubleType())])
+    names = held.names
 
-    def __init__(self, plan: Schedule) -> None:
-        self.plan = plan
+    def __init__(self, width: int) -> None:
+        self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.schema)
+        self.front = handle.getValueState("front", StructType([StructField("place", LongType())]))
+        self.waiting = handle.getListState("waiting", self.held)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step, loss, momentum, t = self.last.get() if self.last.exists() else (-1, None, 0.0, self.plan.t_start)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("step").itertuples(index=False):
-            if row.step <= step:
-                out.append((int(key[0]), int(row.step), None, None, True))
-                continue
-            target = self.plan.target(row.step, row.total)
-            ((t, momentum, _),) = self.plan.walk([float(row.loss)], [target], loss, momentum, t)
-            step, loss = int(row.step), float(row.loss)
-            out.append((int(key[0]), step, t, momentum, False))
-        self.last.update((step, loss, momentum, t))
-        yield pd.DataFrame(out, columns=["run", "step", "t", "momentum", "late"])
+        front = self.front.get()[0] if self.front.exists() else max(0, int(key[1]) * self.width)
+        early = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        parts = [pd.DataFrame(early, columns=self.names), *(chunk[self.names] for chunk in rows)]
+        seen = pd.concat([p for p in parts if len(p)], ignore_index=True)
+        again = seen.duplicated("place").to_numpy() | (seen["place"] < front).to_numpy()
+        late = seen[again].assign(late=True)
+        good = seen[~again].sort_values("place")
+        ready = int(np.cumprod(good["place"].to_numpy() == front + np.arange(len(good))).sum())
+        rest = good.iloc[ready:]
+        self.front.update((front + ready,))
+        if len(rest):
+            self.waiting.put(list(rest.astype(object).itertuples(index=False, name=None)))
+        elif early:
+            self.waiting.clear()
+        out = pd.concat([good.iloc[:ready].assign(late=False), late]) if len(late) else good.iloc[:ready].assign(late=False)
+        out.insert(0, "run", int(key[0]))
+        yield out[["run", "step", "total", "loss", "late"]]
 
     def close(self) -> None:
         pass
 
 
-def schedule_stream(stream: DataFrame, plan: Schedule = Schedule()) -> DataFrame:
-    """Interpolation weight per run over a stream of (run, step, total, loss).
+def _place(first: int, stride: int) -> Column:
+    return ((F.col("step") - first) / stride).cast("long")
+
+
+def schedule_stream(stream: DataFrame, first: int = 0, stride: int = 1, width: int = BLOCK) -> DataFrame:
+    """The steps of runs in order, from a stream of (run, step, total, loss) in any order and any micro-batches.
+
+    The steps of a run are ``first``, ``first + stride``, ... . They are dealt to blocks of ``width``, and a block's key
+    holds back what came before an earlier step of the block, so a busy run is spread over many keys and a key holds at most
+    ``width`` rows. A step that came before is reported as late and not passed on again, as is one off that grid.
+    :func:`schedule_result` folds what was passed on.
+    """
+    off = (F.col("step") < first) | ((F.col("step") - first) % stride != 0)
+    place = F.when(off, -1).otherwise(_place(first, stride))
+    rows = stream.select(F.col("run").cast("long").alias("run"), F.floor(place / width).cast("long").alias("block"), place.alias("place"), F.col("step").cast("long").alias("step"), F.col("total").cast("long").alias("total"), F.col("loss").cast("double").alias("loss"))
+    # What is off the grid goes to block -1, whose front is beyond it.
+    return rows.groupBy("run", "block").transformWithStateInPandas(
+        _InOrder(width), "run long, step long, total long, loss double, late boolean", "Append", "None"
+    )
+
+
+def schedule_result(emitted: DataFrame, plan: Schedule = Schedule(), first: int = 0, stride: int = 1, width: int = BLOCK) -> DataFrame:
+    """(run, step, t, momentum, late): the schedule of each run up to its first missing step, and the late steps.
 
-    A step at or before the last folded one is reported as late and not folded. The rows of
-    one run in one micro-batch are sorted together; ``maxFilesPerTrigger`` bounds them.
+    The blocks of a run count as far as all blocks before them are whole, which one narrow row per block tells; the fold
+    is that of :func:`turnloom.operators.folds.interp_schedule`.
     """
-    return stream.groupBy("run").transformWithStateInPandas(
-        _Schedule(plan),
-        "run long, step long, t double, momentum double, late boolean",
-        "Append",
-        "None",
+    passed = emitted.where("NOT late").withColumn("block", F.floor(_place(first, stride) / width).cast("long"))
+    sizes = passed.groupBy("run", "block").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.coalesce(F.min((F.col("size") == width).cast("int")).over(before), F.lit(1)) == 1
+    gapless = F.coalesce(F.count("*").over(before), F.lit(0)) == F.col("block")
+    fronts = sizes.select("run", "block", (whole & gapless).alias("counts")).where("counts").drop("counts")
+    folded = interp_schedule(
+        passed.join(fronts, ["run", "block"]), t_start=plan.t_start, t_end=plan.t_end, alpha=plan.alpha, beta=plan.beta, adaptive=plan.adaptive
     )
+    late = emitted.where("late").select("run", "step", *(F.lit(None).cast("double").alias(c) for c in ("t", "momentum")), "late")
+    return folded.select("run", "step", "t", "momentum", F.lit(False).alias("late")).unionByName(late)
