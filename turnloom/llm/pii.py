@@ -34,12 +34,13 @@ def _iban_form() -> str:
     return f"(?:{'|'.join(own)})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{OTHER})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{OTHER})[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
 
 
-#: What a match can be, in this order at any place of a text.
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
+#: What a match can be, in this order at any place of a text. Groups that repeat without a bound are possessive: they are
+#: matched in a loop, where a greedy group would take a level of the stack per repeat.
+MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)++"
 LOCAL_PHONE = r"\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])|[2-9][0-9]{2}[.\-][2-9][0-9]{2}[.\-][0-9]{4}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
+IPV4 = r"(?<![A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4}(?!-)|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
 PLAIN = r"(?<![0-9.+\-])(?:" + "|".join((LOCAL_PHONE, SSN, IPV4, DATE)) + ")"
 NOT_MAIL = r"(?<![A-Za-z0-9._%+\-@])"
 #: Starts of other values, at which a run of numbers ends.
@@ -286,7 +287,7 @@ def _ipv4(m: Column, key: str) -> Column:
 def _date(m: Column, key: str) -> Column:
     """Days since 1900 are permuted within the first 73,000 and within the last 49. d/m and m/d: whichever is valid."""
     parts = F.split(m, r"[\-/.]")
-    iso = m.rlike("^[0-9]{4}-")
+    iso = m.rlike("^[0-9]{4}[-/]")
 
     def replaced(p: Column) -> Column:
         year = F.when(iso, p[0]).otherwise(p[2])
@@ -305,9 +306,9 @@ def _date(m: Column, key: str) -> Column:
 
             def shown(q: Column) -> Column:
                 new = F.date_add(F.lit("1900-01-01").cast("date"), (q["l"] * b + q["r"] + F.when(late, F.lit(73000)).otherwise(F.lit(0))).cast("int"))
-                sep = F.when(m.contains("/"), "/").otherwise(".")
+                sep = F.regexp_extract(m, r"[\-/.]", 0)
                 ends = F.when(swap, F.date_format(new, "dd|MM|yyyy")).otherwise(F.date_format(new, "MM|dd|yyyy"))
-                return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.replace(ends, F.lit("|"), sep))
+                return F.replace(F.when(iso, F.date_format(new, "yyyy|MM|dd")).otherwise(ends), F.lit("|"), sep)
 
             return _bound(pair, shown)
 
@@ -317,9 +318,11 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _mail(m: Column, key: str) -> Column:
-    """The letters and digits of the local part as one number of base 36; written in lower case."""
+    """The letters and digits of the local part as one number of base 36, whatever their case; capitals stay in their places."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(_refilled(F.lower(local), _permuted(F.regexp_replace(F.lower(local), "[^0-9a-z]", ""), 36, "mail", key), "[0-9a-z]"), F.substring(m, F.length(local) + 1, F.length(m)))
+    fresh = _refilled(F.lower(local), _permuted(F.regexp_replace(F.lower(local), "[^0-9a-z]", ""), 36, "mail", key), "[0-9a-z]")
+    cased = F.array_join(F.zip_with(F.split(local, ""), F.split(fresh, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+    return F.concat(F.when(local.rlike("[A-Z]"), cased).otherwise(fresh), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -350,7 +353,8 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     """``docs`` with the values in ``text_col`` replaced; ``count_col``, if given, counts those that changed.
 
     A text is cut at its matches and put together again, so whole texts of any length are handled in one pass over the
-    rows, without a shuffle. Null stays null (count 0); a text without a valid value stays as it is.
+    rows, without a shuffle. Null stays null (count 0); a text without a valid value stays as it is. Repeated rows get equal
+    results; an empty table stays empty.
     """
     text = F.col(f"`{text_col}`")
     found = "__found"
