@@ -7,7 +7,6 @@ A text that holds a special token, or white space for which the cut is not certa
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sys
@@ -18,7 +17,7 @@ from array import array
 
 
 #: Distinct pieces kept per generation; the older of two generations is dropped when the newer one is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: White space other than blanks and line ends, and separators on which libraries disagree.
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
@@ -59,11 +58,10 @@ class Encoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         # Lower case, no white space and word ends, or plain byte-level pieces that carry the space before them.
-        self.lower = spec["model"].get("end_of_word_suffix") is not None
+        self.lower = self.model.end_of_word_suffix is not None
         self.bare, self.spaced = _Pieces(self._bare), _Pieces(self._spaced)
 
     def _library(self, text: str) -> bytes:
