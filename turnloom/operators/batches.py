@@ -1,9 +1,9 @@
 """Exact splits, seeded shuffles, batches and collation.
 
 Everything random is an md5 of seed and key, so a re-run (or a lost executor) gives the same
-rows. Global positions come from bucket counts: rows fall into hash buckets of about equal
-size, buckets are counted, and a running total over the few buckets gives each one's offset.
-No step sorts or numbers the whole table in one task.
+rows. Global positions are ranks of the keys alone (:mod:`turnloom.operators.ranks`), joined back
+to the wide rows once. A split needs less: hash buckets are counted, and only the one on the cut
+is ranked. No step sorts or numbers the whole table in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnloom.config import LABEL_IGNORE, BatchSpec
 from turnloom.functions import arrays as A
+from turnloom.operators.ranks import with_rank
 
 HASH_DIGITS = 3
 
@@ -50,42 +51,12 @@ def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Add ``rank``, the row's 0-based place in the seeded order, and ``_total``. ``key`` must be unique."""
-    rows = _bucketed(df, key, seed)
-    offsets = _offsets(_bucketed(df.select(key), key, seed)).select("_bucket", "_before", "_total")
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
-    return (
-        rows.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
-        .drop("_h", "_bucket", "_within", "_before")
-    )
-
-
-def ordered_rank(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """Add ``rank`` in ascending order of a unique numeric key, and ``_total``.
+    return with_rank(df, key, seeded_hash(seed, F.col(key)), key)
 
-    Buckets are key ranges between approximate quantiles; their count is fixed.
-    """
-    cuts = df.agg(
-        F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("c")
-    ).scalar()
-
-    def bucketed(d: DataFrame) -> DataFrame:
-        return (
-            d.withColumn("_cuts", cuts)
-            .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key))))
-            .drop("_cuts")
-        )
 
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    offsets = _offsets(bucketed(df.select(key))).select("_bucket", "_before", "_total")
-    return (
-        bucketed(df)
-        .withColumn("_within", within)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
-        .drop("_bucket", "_within", "_before")
-    )
+def ordered_rank(df: DataFrame, key: str) -> DataFrame:
+    """Add ``rank`` in ascending order of a unique key, and ``_total``."""
+    return with_rank(df, key, key)
 
 
 def eval_size(n: Column, size: int, ratio: float) -> Column:
