@@ -1,12 +1,14 @@
-"""Adaptive escape range coder for token ids, for many lanes in step.
+"""Adaptive context-mixing range coder for token ids, for many lanes in step.
 
 A block is cut into lanes of equal length. All lanes share one model and advance together: the ids at one position of
 every lane are coded with the model as it was before that position, then the model learns them. So a block adapts like
 a sequential coder while each step is a handful of NumPy operations. Blocks start from an empty model.
 
-An id is coded by one of three predictions, not by a mixture of them: the id last seen after the two ids before it (order 2), after the one
-before it (order 1), and adaptive id counts (order 0). Which one holds is coded first, by adaptive counts per confidence
-of the two contexts and their agreement; the id itself follows only for order 0.
+Three predictions are summed with weights: the id last seen after the two ids before it (order 2), the one last seen
+after the id before it (order 1), each with all of its share on that id, and adaptive counts of all ids (order 0). The
+probability of an id is the weighted sum of what the orders give it, and one interval of that sum codes it. Weights are
+kept per confidence of the two contexts and their agreement; each order earns the share it had in the probability of
+the id that came. All arithmetic is in integers, so that every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -14,50 +16,77 @@ from __future__ import annotations
 import numpy as np
 
 LANES = 8192
-_CONTEXTS = 1 << 18
+_STEPS = 512
+_CONTEXTS = 1 << 20
 _GAIN = 24
 _REFRESH = 4
 _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 44)
 _MASK, _WORD, _SHIFT = _U((1 << 44) - 1), _U(16), _U(48)
-_WEIGHT_LIMIT = 1 << 13
+# Weights times counts stay under 2 ** 37, far below the smallest range of a lane (2 ** 44).
+_WEIGHT_UNIT = 1 << 12
+_COUNT_LIMIT = 1 << 24
+_CREDIT = 1 << 10
+_CREDIT_LIMIT = 1 << 24
 
 
 class _Model:
     def __init__(self, alphabet: int, lanes: int):
         self.counts = np.ones(alphabet, np.int64)
-        self.id1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-        self.id2, self.sure2 = np.zeros(_CONTEXTS, np.int64), np.zeros(_CONTEXTS, np.int64)
-        self.weights = np.ones((128, 3), np.int64)
+        self.id1, self.sure1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
+        self.id2, self.sure2 = np.zeros(_CONTEXTS, np.int32), np.zeros(_CONTEXTS, np.int8)
+        self.credit = np.full((128, 3), _CREDIT, np.int64)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
     def look(self) -> None:
-        """Predictions and mode weights of every lane at this position."""
+        """Predictions of every lane at this position, with the mass that each order puts on its own."""
         if self.step % _REFRESH == 0:
+            # No count falls below one, so halving ends only above the size of the alphabet.
+            while self.counts.sum() > max(_COUNT_LIMIT, 2 * len(self.counts)):
+                self.counts = (self.counts + 1) >> 1
             self.cumulative = np.concatenate(([0], np.cumsum(self.counts)))
-            self.total = _U(self.cumulative[-1])
+            self.width = np.diff(self.cumulative)
+            self.total = int(self.cumulative[-1])
         self.step += 1
         self.at2 = (self.last * 40503 + self.before * 10007) & (_CONTEXTS - 1)
-        self.guess1, self.guess2 = self.id1[self.last], self.id2[self.at2]
-        self.c1, self.c2 = self.sure1[self.last], self.sure2[self.at2]
+        self.guess1, self.guess2 = self.id1[self.last].astype(np.int64), self.id2[self.at2].astype(np.int64)
+        self.c1, self.c2 = self.sure1[self.last].astype(np.int64), self.sure2[self.at2].astype(np.int64)
         self.context = (self.c2 * 8 + self.c1) * 2 + (self.guess1 == self.guess2)
-        self.upper = np.cumsum(self.weights, axis=1).astype(_U)
-        self.unit = self.upper[:, 2].take(self.context)
-
-    def interval(self, mode: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the chosen mode's share."""
-        cell = self.context * 3 + mode
-        width = self.weights.astype(_U).reshape(-1).take(cell)
-        return self.upper.reshape(-1).take(cell) - width, width
-
-    def learn(self, ids: np.ndarray, mode: np.ndarray) -> None:
-        """``mode``: 2, 1 or 0 for the order that gave the id."""
-        np.add.at(self.counts, ids[mode == 0], _GAIN)
-        self.weights += np.bincount(self.context * 3 + mode, minlength=384).reshape(128, 3)
-        heavy = self.weights.sum(axis=1) > _WEIGHT_LIMIT
-        if heavy.any():
-            self.weights[heavy] = (self.weights[heavy] + 1) >> 1
+        weights = np.maximum(1, self.credit * _WEIGHT_UNIT // self.credit.sum(axis=1, keepdims=True))
+        shares = weights[self.context]
+        self.weight0, self.mass1, self.mass2 = shares[:, 0], shares[:, 1] * self.total, shares[:, 2] * self.total
+        self.unit = shares.sum(axis=1) * self.total
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of every lane's id in the mixture, in units of ``unit``."""
+        start = self.weight0 * self.cumulative[ids] + self.mass1 * (self.guess1 < ids) + self.mass2 * (self.guess2 < ids)
+        self.parts = self.weight0 * self.width[ids], self.mass1 * (self.guess1 == ids), self.mass2 * (self.guess2 == ids)
+        return start, self.parts[0] + self.parts[1] + self.parts[2]
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id whose interval holds ``value``: both point masses are taken out in id order, the rest is order 0."""
+        rest, found = value, np.full(len(value), -1, np.int64)
+        swap = self.guess1 > self.guess2
+        near, far = np.where(swap, self.guess2, self.guess1), np.where(swap, self.guess1, self.guess2)
+        for guess, mass in ((near, np.where(swap, self.mass2, self.mass1)), (far, np.where(swap, self.mass1, self.mass2))):
+            begin = self.weight0 * self.cumulative[guess]
+            end = begin + self.weight0 * self.width[guess] + mass
+            found = np.where((found < 0) & (rest >= begin) & (rest < end), guess, found)
+            rest = np.where((found < 0) & (rest >= end), rest - mass, rest)
+        open_ = np.flatnonzero(found < 0)
+        found[open_] = np.searchsorted(self.cumulative, rest[open_] // self.weight0[open_], side="right") - 1
+        return found
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Uses the parts that ``interval`` found for the same ids."""
+        self.counts += np.bincount(ids, minlength=len(self.counts)) * _GAIN
+        whole = self.parts[0] + self.parts[1] + self.parts[2]
+        for order, part in enumerate(self.parts):
+            earned = part * _CREDIT // whole
+            # Sums of integers below 2 ** 53 are exact in bincount's doubles.
+            self.credit[:, order] += np.bincount(self.context, weights=earned, minlength=128).astype(np.int64)
+        self.credit = np.where(self.credit.sum(axis=1, keepdims=True) > _CREDIT_LIMIT, (self.credit + 1) >> 1, self.credit)
         for guess, sure, known, c, at in ((self.guess1, self.sure1, self.id1, self.c1, self.last), (self.guess2, self.sure2, self.id2, self.c2, self.at2)):
             hit = guess == ids
             known[at] = np.where(hit | (c > 1), guess, ids)
@@ -70,6 +99,10 @@ class _Coder:
         self.low = np.zeros(lanes, _U)
         self.range = np.full(lanes, (1 << 64) - 1, _U)
 
+    def narrow(self, part: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        self.low += part * start.astype(_U)
+        self.range = part * width.astype(_U)
+
     def settle(self):
         """Lanes whose upper 16 bits are fixed, again and again; the caller moves one word for each."""
         while True:
@@ -88,7 +121,8 @@ class _Coder:
 
 def encode(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint16, lane after lane) and the number of words of each lane."""
-    lanes = max(1, min(lanes, len(ids) // 16))
+    # A lane learns nothing of its own step, so short blocks take fewer lanes rather than fewer steps.
+    lanes = max(1, min(lanes, len(ids) // _STEPS))
     steps = -(-len(ids) // lanes) if len(ids) else 0
     grid = np.zeros(lanes * steps, np.int64)
     grid[: len(ids)] = ids
@@ -97,21 +131,10 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> tuple[np.ndarr
     every = np.arange(lanes, dtype=np.uint16)
     for x in grid:
         model.look()
-        mode = np.where(model.guess2 == x, 2, np.where(model.guess1 == x, 1, 0))
-        begin, width = model.interval(mode)
-        part = coder.range // model.unit
-        coder.low += part * begin
-        coder.range = part * width
-        at = np.flatnonzero(mode == 0)
-        if len(at):
-            own = x[at]
-            part = coder.range[at] // model.total
-            start = model.cumulative[own]
-            coder.low[at] += part * start.astype(_U)
-            coder.range[at] = part * (model.cumulative[own + 1] - start).astype(_U)
+        coder.narrow(coder.range // model.unit.astype(_U), *model.interval(x))
         for ready in coder.settle():
             out.append((ready.astype(np.uint16), (coder.low[ready] >> _SHIFT).astype(np.uint16)))
-        model.learn(x, mode)
+        model.learn(x)
     for _ in range(4):
         out.append((every, (coder.low >> _SHIFT).astype(np.uint16)))
         coder.low <<= _WORD
@@ -134,25 +157,13 @@ def decode(words: np.ndarray, per_lane: np.ndarray, length: int, alphabet: int)
     grid = np.empty((steps, lanes), np.int64)
     for t in range(steps):
         model.look()
-        part = coder.range // model.unit
-        ahead = code - coder.low
-        mode = (ahead >= part * model.upper[:, 0].take(model.context)).astype(np.int64) + (ahead >= part * model.upper[:, 1].take(model.context))
-        begin, width = model.interval(mode)
-        coder.low += part * begin
-        coder.range = part * width
-        x = np.where(mode == 2, model.guess2, model.guess1)
-        at = np.flatnonzero(mode == 0)
-        if len(at):
-            part = coder.range[at] // model.total
-            value = np.minimum((code[at] - coder.low[at]) // part, model.total - _U(1)).astype(np.int64)
-            own = np.searchsorted(model.cumulative, value, side="right") - 1
-            start = model.cumulative[own]
-            coder.low[at] += part * start.astype(_U)
-            coder.range[at] = part * (model.cumulative[own + 1] - start).astype(_U)
-            x[at] = own
+        unit = model.unit.astype(_U)
+        part = coder.range // unit
+        x = model.find(np.minimum((code - coder.low) // part, unit - _U(1)).astype(np.int64))
+        coder.narrow(part, *model.interval(x))
         for ready in coder.settle():
             code[ready] = (code[ready] << _WORD) | words[place[ready]]
             place[ready] += 1
-        model.learn(x, mode)
+        model.learn(x)
         grid[t] = x
     return grid.T.reshape(-1)[:length]
