@@ -16,6 +16,7 @@ from turnloom.functions.tokens import PAD_ID, Dictionary, dictionary_table
 from turnloom.operators import batches as B
 from turnloom.operators import divergence as D
 from turnloom.operators import evaluate as E
+from turnloom.operators import exact as K
 from turnloom.operators import folds as S
 from turnloom.operators import normalize as N
 from turnloom.operators import sampling as R
@@ -583,6 +584,23 @@ def expand_samples_exact(spark, sf):
     return sample_rows(W.expand_exact_words(nested, ["conv_id"], BUDGET, dictionary(spark, sf), min_message_tokens=T.GENERIC.min_cost))
 
 
+def byte_pairs() -> Callable[[], K.Encode]:
+    """The byte-pair tokenizer of the queries, read by every task from its own copy."""
+    import public_tokenizers
+
+    return K.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def expand_samples_tokenized(spark, sf):
+    """Samples by the lengths of a byte-pair tokenizer; only windows near the limit are tokenised.
+
+    The markers of a message alone are more than six of its ids, and a line end meets ``<|`` at every join.
+    """
+    found = K.expand_tokenized(canonical(spark, sf), ["conv_id"], Budget(2048, 512), byte_pairs(), slack=1, min_message_tokens=6)
+    return sample_rows(found)
+
+
 @query
 def prepare_corpus(spark, sf):
     """Source rows to split samples in one job, quarantining nothing."""

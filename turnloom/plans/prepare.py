@@ -10,6 +10,7 @@ from turnloom.config import PrepConfig
 from turnloom.functions.tokens import Dictionary, Vocabulary
 from turnloom.operators import normalize as N
 from turnloom.operators.batches import split_exact, split_given
+from turnloom.operators.exact import Encode, expand_tokenized
 from turnloom.operators.template import GENERIC, Template
 from turnloom.operators.windows import expand_exact, expand_exact_words, expand_nested
 from turnloom.sources import sinks
@@ -23,12 +24,20 @@ def expand_messages(
     encode: Callable[[Column], Column] | None = None,
     template: Template = GENERIC,
     max_token_bytes: int | None = None,
+    load: Callable[[], Encode] | None = None,
+    slack: int = 1,
+    min_message_tokens: int = 1,
 ) -> DataFrame:
     """Canonical messages -> samples.
 
-    The word tokenizer takes the additive path. A plug-in tokenizer, or think-span removal
-    (which looks at the rendered text as a whole), takes the exact one.
+    The word tokenizer takes the additive path. A tokenizer that tasks ``load`` themselves is
+    tried near the limit only. A plug-in column function ``encode``, or think-span removal
+    (which looks at the rendered text as a whole), takes the path that tries every start.
     """
+    if load is not None:
+        if cfg.enable_thinking == "false":
+            raise ValueError("removal of think spans needs encode instead of load")
+        return expand_tokenized(df, keys, cfg.budget, load, template, slack, min_message_tokens)
     if encode is None and cfg.enable_thinking != "false":
         return expand_nested(df, keys, cfg.budget, template, vocab, cfg=cfg)
     if encode is None:
@@ -46,6 +55,9 @@ def prepare(
     template: Template = GENERIC,
     level: str = "conversation",
     max_token_bytes: int | None = None,
+    load: Callable[[], Encode] | None = None,
+    slack: int = 1,
+    min_message_tokens: int = 1,
 ) -> DataFrame:
     """Samples with their ``split``.
 
@@ -59,7 +71,7 @@ def prepare(
         messages = N.normalize(df, cfg, keep=keys)
         if cfg.on_error == "quarantine":
             messages = messages.where(F.col("error").isNull()).drop("error")
-        out = expand_messages(messages, keys, cfg, vocab, encode, template, max_token_bytes)
+        out = expand_messages(messages, keys, cfg, vocab, encode, template, max_token_bytes, load, slack, min_message_tokens)
         return out.withColumn("sample_id", F.concat_ws("-", F.col(key).cast("string"), F.col("turn").cast("string")))
 
     if evaluation is not None:
