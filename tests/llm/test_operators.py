@@ -235,6 +235,24 @@ def test_main_text_inside_forms_and_named_parts():
     assert maintext.main_text(f"<body><div class='content'>{body}{comments}<div class='cookie-notice'><p>{lines[0]}</p></div></div></body>") == "\n".join(lines)
 
 
+def test_main_text_notices_headers_and_references():
+    lines = [f"Paragraph {i}, long enough, to count for something, in the tree of a page with several of them." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    rich = "This part is long, plain and rich, but it says nothing that belongs to the text of the page. " * 2
+    for name in ("notice", "promo-box", "site-banner", "popup", "promotion"):
+        assert maintext.main_text(f"<body><article><h1>Head</h1>{body}<div class='{name}'><p>{rich}</p></div></article></body>") == "\n".join(["Head", *lines]), name
+    site = "<header><p>The name of the site</p></header>"
+    for around in ("<main><header><h1>Head</h1></header>%s</main>", "<div class='content'><header><h1>Head</h1></header>%s</div>"):
+        assert maintext.main_text(f"<body>{site}{around % body}</body>") == "\n".join(["Head", *lines]), around
+    named = "<div class='content'><header class='site-header'><p>The name of the site</p></header>%s</div>"
+    assert maintext.main_text(f"<body>{named % body}</body>") == "\n".join(lines)
+    notes = "<ol><li><a href=a>First reference</a></li><li><a href=b>Second reference</a></li></ol>"
+    others = "<ul><li><a href=c>Another page</a></li><li><a href=d>One more page</a></li></ul>"
+    assert maintext.main_text(f"<body><article>{body}{notes}{others}</article></body>") == "\n".join([*lines, "First reference", "Second reference"])
+    formula = "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>"
+    assert maintext.main_text(f"<body><article>{body}{formula}</article></body>") == "\n".join([*lines, "Let x=2 hold."])
+
+
 def test_prefix_trees(spark):
     r, rows = random.Random(8), []
     for c in range(40):

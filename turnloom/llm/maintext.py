@@ -26,7 +26,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-_CUT = frozenset("nav footer aside button select dialog svg math canvas object audio video menu head input label".split())
+_CUT = frozenset("nav footer aside button select dialog svg canvas object audio video menu head input label".split())
 #: Cut by ``_decide`` only, like what has a cut word.
 _FORMS = frozenset("form fieldset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -36,8 +36,10 @@ _CUT_WORDS = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: What these words name is left out however much plain text it has, unless it is the page's main part.
-_STRICT_WORDS = _COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising adsense consent cookie cookies gdpr newsletter sidebar sponsor sponsored".split())
+_STRICT_WORDS = _COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising adsense consent cookie cookies gdpr banner newsletter notice notices overlay popup promo promoted promotion sidebar sponsor sponsored".split())
 _GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: A header without a name of its own below one of these belongs to the text, not to the site.
+_TEXT_WORDS = frozenset("article content entry post story".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 _SCOPE = frozenset("table ul ol dl div section article main body html blockquote".split())
@@ -73,15 +75,16 @@ class _Node:
                 self.over, self.soft, self.inner = self.soft, self, False
                 self.strict, self.comments = bool(named & _STRICT_WORDS), bool(named & _COMMENT_WORDS)
                 self.plain = self.linked = self.own = self.fields = self.main = 0
-            if tag == "header" and not self.inside("article"):
+            if tag == "header" and not self.of_text():
                 self.cut = True
         elif tag in ("article", "main"):
             self.inner = not self.words & _COMMENT_WORDS
 
-    def inside(self, *tags: str) -> bool:
+    def of_text(self) -> bool:
+        """In an article or main element, or in a part that is named as text and not as something to cut."""
         at = self.above
         while at is not None:
-            if at.tag in tags:
+            if at.tag in ("article", "main") or at.tag not in _KEEP and at.words & _TEXT_WORDS and not at.words & _CUT_WORDS:
                 return True
             at = at.above
         return False
@@ -260,8 +263,10 @@ def main_text(page: str) -> str:
 
 
 def _menu(node: _Node, top: _Node) -> bool:
-    """In a list, table or division that is nearly all link text."""
+    """In a list, table or division that is nearly all link text; a numbered list of an article is its references."""
     while node is not None and node is not top:
+        if node.tag == "ol" and top.tag in ("article", "main"):
+            return False
         if node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.chars and node.link_chars > 0.8 * node.chars:
             return True
         node = node.above
