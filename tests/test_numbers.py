@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,36 @@ def test_chunks_are_written_and_read_per_split(spark):
     assert files["train"] > files["test"] >= 1
 
 
+def test_chunk_sizes_without_a_session_setting(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    noise = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(50_000)).cast("int"))
+    split = F.when(F.col("id") % 10 == 0, "test").when(F.col("id") % 10 < 9, "train")
+    df = spark.range(6000).repartition(5).select(F.col("id").cast("string").alias("sample_id"), split.alias("split"), noise.alias("input_ids"))
+    path = sinks.work_dir(spark, "sized")
+    sinks.write_chunks(df, path, "600KB")
+    assert spark.conf.get(name, None) == before
+    sizes = {}
+    for folder in ("split=train", "split=test", "split=__HIVE_DEFAULT_PARTITION__"):
+        local = f"{path.removeprefix('file://').removeprefix('file:')}/{folder}"
+        sizes[folder] = [pq.ParquetFile(f"{local}/{f}").read().nbytes for f in os.listdir(local) if f.endswith(".parquet")]
+    # 4,800 and twice 600 rows of about 2,010 bytes.
+    assert {k: len(v) for k, v in sizes.items()} == {"split=train": 17, "split=test": 3, "split=__HIVE_DEFAULT_PARTITION__": 3}
+    assert all(0.9 * 600_000 < x < 1.1 * 600_000 for x in sizes["split=train"])
+    assert all(max(v) < 1.1 * min(v) for v in sizes.values())
+    back = spark.read.parquet(path)
+    assert back.count() == 6000 and back.select("sample_id").distinct().count() == 6000
+    assert back.exceptAll(df.select(*back.columns)).count() == 0
+
+
+def test_chunks_of_an_empty_table_and_of_equal_rows(spark):
+    path = sinks.work_dir(spark, "odd")
+    same = spark.range(3000).select(F.lit("one").alias("sample_id"), F.lit("train").alias("split"))
+    sinks.write_chunks(same, path, 1000)
+    assert spark.read.parquet(path).count() == 3000
+    sinks.write_chunks(same.limit(0), sinks.work_dir(spark, "odd"), 1000)
+
+
 # --- text metrics --------------------------------------------------------------------
 
 
