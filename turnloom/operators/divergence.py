@@ -4,17 +4,23 @@ Input row: ``sample_id, pos, student array, teacher array, label``. A position i
 itself and only the resulting numbers are aggregated, with partial sums before
 the shuffle. Pairing a position with the label after it is an equi-join on the unique key
 (sample_id, pos), so one very long sample is no hot spot; for measures that do not look at
-the label, the join happens after scoring and no logit vector is ever shuffled.
+the label, the join happens after scoring and no logit vector is ever shuffled. For those that
+do, :func:`record` stores the table once with the label next to its position, and every
+measure then reads it in place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom.config import LABEL_IGNORE
 from turnloom.functions import logit as L
 from turnloom.functions.logit_batches import scorer
+from turnloom.sources.sinks import work_dir
 
 # Defaults of the measures.
 JS_BETA = 0.1
@@ -49,10 +55,63 @@ def next_labels(df: DataFrame) -> DataFrame:
 
 
 def align(df: DataFrame) -> DataFrame:
-    """Attach the label of the following position; the last position of a sample drops out."""
+    """Attach the label of the following position; the last position of a sample drops out.
+
+    A table of :func:`record` is aligned already.
+    """
+    if "next_label" in df.columns:
+        return df
     return df.join(next_labels(df), ["sample_id", "pos"])
 
 
+def _hand_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the label of the row behind them, where that is the next position of the same sample.
+
+    The last row of a batch waits for the next batch, so one row is held. ``open`` rows have met no such row.
+    """
+
+    def paired(rows: pa.RecordBatch, behind: pa.RecordBatch) -> pa.RecordBatch:
+        follows = pc.and_(
+            pc.equal(behind["sample_id"], rows["sample_id"]), pc.equal(behind["pos"], pc.add(rows["pos"], pa.scalar(1, rows["pos"].type)))
+        )
+        follows = pc.fill_null(follows, False)
+        label = pc.if_else(follows, behind["label"].cast(pa.int64()), pa.scalar(None, pa.int64()))
+        return rows.append_column("next_label", label).append_column("open", pc.invert(follows))
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield paired(held, batch.slice(0, 1))
+        if batch.num_rows > 1:
+            yield paired(batch.slice(0, batch.num_rows - 1), batch.slice(1))
+        # A copy, so that the batch itself is not kept for one row.
+        held = batch.take(pa.array([batch.num_rows - 1]))
+    if held is not None:
+        yield held.append_column("next_label", pa.nulls(1, pa.int64())).append_column("open", pa.array([True]))
+
+
+def record(df: DataFrame, label: str = "logits") -> DataFrame:
+    """The logit table stored with ``next_label`` and ``mask``, for measures that look at the label.
+
+    Rows that are written in the order of the positions, as runs log them, meet the label of the next row inside their
+    task. Only rows without such a neighbour (the last of a task or sample, or rows out of order) are joined by
+    (sample_id, pos); the vectors of all others are never shuffled, neither here nor by any measure afterwards. The last
+    position of a sample drops out, as does a row whose sample_id or pos is null.
+    """
+    spark, path = df.sparkSession, work_dir(df.sparkSession, label)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    df.mapInArrow(_hand_over, f"{fields}, next_label bigint, open boolean").write.partitionBy("open").parquet(f"{path}/rows")
+    plain = f"{fields}, next_label bigint"
+    rows = spark.read.schema(f"{plain}, open boolean").parquet(f"{path}/rows")
+    labels = next_labels(rows.select("sample_id", "pos", "label")).select("sample_id", "pos", F.col("next_label").cast("long").alias("next_label"))
+    late = rows.where("open").drop("open", "next_label").join(labels, ["sample_id", "pos"])
+    late.select(*df.columns, "next_label").write.parquet(f"{path}/joined")
+    both = rows.where("NOT open").drop("open").unionByName(spark.read.schema(plain).parquet(f"{path}/joined"))
+    return both.withColumn("mask", (F.col("next_label") != LABEL_IGNORE).cast("int"))
+
+
 def with_distributions(df: DataFrame, student: str = "student", teacher: str = "teacher") -> DataFrame:
     """Double logits, log-softmax and softmax of both sides, each worked out once per row."""
     return (
@@ -270,15 +329,16 @@ def _scores(kinds: dict[str, dict], labelled: bool, engine: str) -> list[Column]
 def score_positions(df: DataFrame, kinds: dict[str, dict], keep: tuple[str, ...] = (), engine: str = "arrow") -> DataFrame:
     """(keep, sample_id, pos, mask, one column per measure).
 
-    Labels are joined before scoring only when a labelled measure is asked for. ``engine``
-    is ``arrow`` (matrix arithmetic over Arrow batches) or ``expression`` (array expressions
+    Labels are joined before scoring only when a labelled measure is asked for, and not at all
+    where :func:`record` has put them beside their positions. ``engine`` is ``arrow`` (matrix arithmetic over Arrow batches) or ``expression`` (array expressions
     in the JVM); both give the same numbers.
     """
+    aligned = "next_label" in df.columns
     labelled = any(k in LABELLED for k in kinds)
     base = ["sample_id", "pos", *keep]
     prepared = with_distributions if engine == "expression" else (lambda d: d)
     scores = _scores(kinds, labelled, engine)
-    if labelled:
+    if labelled or aligned:
         return prepared(align(df)).select(*base, "mask", *scores)
     narrow = prepared(df).select(*base, *scores)
     return narrow.join(next_labels(df).select("sample_id", "pos", "mask"), ["sample_id", "pos"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnloom.operators.batches import unit_hash
 from turnloom.operators.folds import running
 from turnloom.sources.files import turns_to_messages
+from turnloom.sources.sinks import staged
 
 # CASE texts that both engines understand.
 RAW_ROLE = """CASE role
@@ -163,6 +164,11 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def logit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The logits as a run logs them: written sample by sample, position by position."""
+    return staged(logits(spark, sf).orderBy("sample_id", "pos"), "logit-log")
+
+
 def runlog(spark: SparkSession, sf: str) -> DataFrame:
     """(run, step, total, loss, r): per user the events in time order."""
     e = table(spark, sf, "events").select(
