@@ -4,12 +4,15 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.config import BatchSpec
 from turnloom.functions import arrays as A
 from turnloom.functions import rouge as R
 from turnloom.operators import batches as B
@@ -340,3 +343,72 @@ def test_eval_by_set_names(spark):
     losses = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "eval_set int, loss double")
     got = {r.name: r.value for r in E.eval_by_set(pairs, losses).collect()}
     assert got == {"val_0/loss": 2.0, "val_0/exact_match": 50.0, "val_0/rougeL": 50.0, "val_1/loss": 5.0}
+
+
+def explained(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def _logit_rows(samples: int, positions: int) -> list[tuple]:
+    rng = np.random.default_rng(3)
+    return [
+        (s, p, rng.normal(size=6).tolist(), rng.normal(size=6).tolist(), -100 if p < 2 else int(rng.integers(6)))
+        for s in range(samples) for p in range(positions)
+    ]
+
+
+LOGITS = "sample_id long, pos int, student array<double>, teacher array<double>, label int"
+
+
+@pytest.mark.parametrize("order", ["logged", "shuffled"])
+def test_recorded_logits_give_every_measure_without_a_join(spark, order):
+    rows = _logit_rows(7, 30)
+    if order == "shuffled":
+        np.random.default_rng(0).shuffle(rows := np.array(rows, dtype=object))
+        rows = [tuple(r) for r in rows.tolist()]
+    # A gap and a sample of one position: neither has a next position.
+    rows = [r for r in rows if r[:2] != (3, 12)] + [(99, 0, [0.0] * 6, [1.0] * 6, 2), (None, 5, [0.0] * 6, [1.0] * 6, 2)]
+    df = spark.createDataFrame(rows, LOGITS).coalesce(3)
+    stored = D.record(df)
+    keys = {(r.sample_id, r.pos): (r.next_label, r.mask) for r in stored.collect()}
+    labels = {(r[0], r[1]): r[4] for r in rows}
+    assert keys == {(s, p): (labels[s, p + 1], int(labels[s, p + 1] != -100)) for s, p in labels if (s, p + 1) in labels and s is not None}
+    result = D.divergence_all(stored, by=("sample_id",))
+    assert "Exchange" in explained(result)
+    for node in re.findall(r"Exchange\n.*?(?=\n\n)", explained(result), flags=re.S):
+        assert "student" not in node and "teacher" not in node
+    want = {r.sample_id: r for r in D.divergence_all(df, by=("sample_id",)).collect()}
+    got = {r.sample_id: r for r in result.collect()}
+    assert got.keys() == want.keys()
+    for key, row in got.items():
+        assert np.allclose([row[k] for k in D.KINDS], [want[key][k] for k in D.KINDS])
+
+
+def test_logged_rows_are_paired_inside_their_task():
+    batch = pa.RecordBatch.from_pylist([{"sample_id": s, "pos": p, "label": 10 * s + p} for s in (1, 2) for p in range(5)])
+    out = pa.Table.from_batches(D._hand_over(iter([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3, 1), batch.slice(4)]))).to_pylist()
+    assert [r["label"] for r in out] == [10 * s + p for s in (1, 2) for p in range(5)]
+    assert [(r["sample_id"], r["pos"]) for r in out if r["open"]] == [(1, 4), (2, 4)]
+    assert all(r["next_label"] == r["label"] + 1 for r in out if not r["open"])
+    assert list(D._hand_over(iter([]))) == []
+
+
+def test_collate_with_given_masks_types_and_media(spark):
+    rows = [
+        (0, 1, [5, 6], [5, 6], [5], "b", [1, 1], [0, 2], [1], None, [[1.5, 2.0], [3.0, 4.0]]),
+        (0, 0, [7, 8, 9], [7, 8, 9], [7, 8], "a", None, [1, 1, 1], [0, 1], [2, 2], None),
+        (1, 0, [4], [4], [], "c", [], [2], [], [], []),
+    ]
+    names = "input_ids array<int>, labels array<int>, prompt_ids array<int>, response string, attention_mask array<int>, mm_token_type_ids array<int>"
+    sides = "prompt_attention_mask array<int>, prompt_mm_token_type_ids array<int>, pixel_values array<array<double>>"
+    df = spark.createDataFrame(rows, f"batch_id long, slot int, {names}, {sides}")
+    out = {r.batch_id: r for r in B.collate(df, BatchSpec(max_input=2, max_output=2)).collect()}
+    first, gen = out[0].model_inputs, out[0].model_inputs_gen
+    assert first.input_ids == [[7, 8, 9, 0], [5, 6, 0, 0]]
+    assert first.attention_mask == [[0, 0, 0, 0], [1, 1, 0, 0]]
+    assert first.mm_token_type_ids == [[1, 1, 1, 0], [0, 2, 0, 0]]
+    assert first.pixel_values == [[1.5, 2.0], [3.0, 4.0]] and first.pixel_values_offsets == [0, 0, 2]
+    assert gen.attention_mask == [[0, 1], [0, 1]] and gen.mm_token_type_ids == [[2, 2], [0, 0]] and gen.response == ["a", "b"]
+    assert out[1].model_inputs.pixel_values == [] and out[1].model_inputs.pixel_values_offsets == [0, 0]
+    bare = B.collate(df.select(*df.columns[:6]), BatchSpec(max_input=2, max_output=2)).where("batch_id = 0").first()
+    assert bare.model_inputs.attention_mask == [[1, 1, 1, 0], [1, 1, 0, 0]]

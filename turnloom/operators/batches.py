@@ -15,6 +15,11 @@ from turnloom.functions import arrays as A
 from turnloom.operators.ranks import with_rank
 
 HASH_DIGITS = 3
+# What may come with the ids of a sample. The first kind runs along the ids, the second is joined over a batch.
+SIDE = ("attention_mask", "mm_token_type_ids")
+MEDIA = ("pixel_values", "pixel_values_videos", "image_grid_thw", "video_grid_thw")
+#: Leads the names of side columns of the prompt.
+PROMPT = "prompt_"
 
 
 def seeded_hash(seed: int, key: Column) -> Column:
@@ -144,26 +149,48 @@ def padded(df: DataFrame, spec: BatchSpec) -> DataFrame:
 def collate(df: DataFrame, spec: BatchSpec) -> DataFrame:
     """One row per batch with lists in slot order. Unpadded rows are shuffled, padding comes after.
 
-    Needs batch_id, slot, input_ids, labels, prompt_ids, response.
+    Needs batch_id, slot, input_ids, labels, prompt_ids, response. Of the optional columns, those that ``df`` has are used:
+    ``attention_mask`` and ``mm_token_type_ids`` (of input_ids) and ``prompt_attention_mask`` and
+    ``prompt_mm_token_type_ids`` (of prompt_ids) are padded with zeros like their ids, and a given mask takes the place of
+    the one told from the pad id. Media columns (:data:`MEDIA`, lists with one entry per patch or picture) are joined over
+    the batch into one list, with ``<name>_offsets``: sample ``slot`` owns the entries from ``offsets[slot]`` up to
+    ``offsets[slot + 1]``. A null mask or type list counts as zeros and a null media list as no entries.
     """
-    fields = ["slot", "input_ids", "labels", "prompt_ids", "response"]
-    rows = df.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    given = [c for c in (*SIDE, *(PROMPT + c for c in SIDE), *MEDIA) if c in df.columns]
+    fields = ["slot", "input_ids", "labels", "prompt_ids", "response", *given]
+    # Ordered by the slot alone: it is unique in a batch, and media need not be comparable.
+    by_slot = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: (a["slot"] - b["slot"]).cast("int"))
+    rows = df.groupBy("batch_id").agg(by_slot.alias("rows"))
 
     def column(fn) -> Column:
         return F.transform("rows", fn)
 
+    def zeros(r: Column, name: str) -> Column:
+        return F.coalesce(r[name], F.array().cast(df.schema[name].dataType))
+
+    def sides(pad, length: int, ids: str, lead: str = "") -> list[Column]:
+        told = F.transform(ids, lambda x: A.attention_mask(x, spec.pad_id))
+        padded = {c: column(lambda r: pad(zeros(r, lead + c), length, 0)) for c in SIDE if lead + c in given}
+        return [v.alias(c) for c, v in {SIDE[0]: told, **padded}.items()]
+
+    def media(name: str) -> list[Column]:
+        sizes = column(lambda r: F.greatest(F.coalesce(F.size(r[name]), F.lit(0)), F.lit(0)))
+        offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return [F.flatten(column(lambda r: zeros(r, name))).alias(name), offsets.alias(f"{name}_offsets")]
+
     ids = column(lambda r: A.pad_right(r["input_ids"], spec.max_length, spec.pad_id))
     prompts = column(lambda r: A.pad_left(r["prompt_ids"], spec.max_input, spec.pad_id))
     return rows.select("batch_id", "rows", ids.alias("i"), prompts.alias("p")).select(
         "batch_id",
         F.struct(
             F.col("i").alias("input_ids"),
-            F.transform("i", lambda x: A.attention_mask(x, spec.pad_id)).alias("attention_mask"),
+            *sides(A.pad_right, spec.max_length, "i"),
             column(lambda r: A.pad_right(r["labels"], spec.max_length, LABEL_IGNORE)).alias("labels"),
+            *[c for name in MEDIA if name in given for c in media(name)],
         ).alias("model_inputs"),
         F.struct(
             F.col("p").alias("input_ids"),
-            F.transform("p", lambda x: A.attention_mask(x, spec.pad_id)).alias("attention_mask"),
+            *sides(A.pad_left, spec.max_input, "p", PROMPT),
             column(lambda r: r["response"]).alias("response"),
         ).alias("model_inputs_gen"),
     )

@@ -655,6 +655,39 @@ def collate(spark, sf):
     )
 
 
+def with_sides(df: DataFrame) -> DataFrame:
+    """Samples with a given mask and token types, and with patches and a grid for some of them."""
+    def types(ids: str) -> Column:
+        return F.transform(ids, lambda x: (x % 3).cast("int"))
+
+    def mask(ids: str) -> Column:
+        return F.transform(ids, lambda x, i: (i % 5 != 4).cast("int"))
+
+    patches = F.transform(F.filter("input_ids", lambda x: x % 7 == 0), lambda x: F.array((x % 5).cast("int"), (x % 2).cast("int")))
+    grid = F.when(F.size(patches) > 0, F.array(F.array(F.lit(1), F.size(patches))))
+    return df.withColumns({
+        "attention_mask": mask("input_ids"), "mm_token_type_ids": types("input_ids"), "prompt_attention_mask": mask("prompt_ids"),
+        "prompt_mm_token_type_ids": types("prompt_ids"), "pixel_values": patches, "image_grid_thw": grid,
+    })
+
+
+@query
+def collate_sides(spark, sf):
+    """Given masks and token types in padding, patches and grids joined over the batch."""
+    batch = B.collate(B.batch_ids(with_sides(stored_samples(spark, sf)), "sample_id", SPEC.batch_size), SPEC)
+
+    def lists(c: str) -> Column:
+        return F.array_join(F.transform(c, joined), "|")
+
+    m, g = "model_inputs.", "model_inputs_gen."
+    return batch.select(
+        "batch_id", lists(m + "attention_mask").alias("mask"), lists(m + "mm_token_type_ids").alias("types"),
+        lists(g + "attention_mask").alias("prompt_mask"), lists(g + "mm_token_type_ids").alias("prompt_types"),
+        lists(m + "pixel_values").alias("pixels"), joined(m + "pixel_values_offsets").alias("pixel_offsets"),
+        lists(m + "image_grid_thw").alias("grids"), joined(m + "image_grid_thw_offsets").alias("grid_offsets"),
+    )
+
+
 @query
 def limit_batches(spark, sf):
     batches = B.batch_ids(fx.table(spark, sf, "documents").select("doc_id"), "doc_id", 48)
@@ -671,8 +704,14 @@ def best_step(spark, sf):
 # --- divergences ---------------------------------------------------------------------
 
 
+def recorded(spark, sf) -> DataFrame:
+    """The logged logits with the label each position is scored against, stored once for all measures."""
+    return D.record(fx.logit_log(spark, sf))
+
+
 def measure(kind: str, params: dict, spark, sf) -> DataFrame:
-    out = D.divergence(fx.logits(spark, sf), kind, by=("sample_id",), **params)
+    rows = recorded(spark, sf) if kind in D.LABELLED else fx.logits(spark, sf)
+    out = D.divergence(rows, kind, by=("sample_id",), **params)
     return out.select("sample_id", r6("value").alias("value"))
 
 
@@ -719,13 +758,13 @@ def logit_softmax(spark, sf):
 
 @query
 def loss_combine(spark, sf):
-    out = D.combine(fx.logits(spark, sf), "rkl", ratio=0.7, by=("sample_id",))
+    out = D.combine(recorded(spark, sf), "rkl", ratio=0.7, by=("sample_id",))
     return out.select("sample_id", *[r6(c).alias(c) for c in ("lm_loss", "distil_loss", "loss")])
 
 
 @query
 def div_dispatch(spark, sf):
-    out = D.divergence_all(fx.logits(spark, sf), by=("sample_id",))
+    out = D.divergence_all(recorded(spark, sf), by=("sample_id",))
     return out.select("sample_id", *[r6(k).alias(k) for k in D.KINDS])
 
 

@@ -490,6 +490,23 @@ oracle(
     array_to_string(list_transform({pad_right('input_ids', 320, 0)}, lambda v: CASE WHEN v <> 0 THEN 1 ELSE 0 END), ' ') AS attention_mask,
     {joined(pad_left('prompt_ids', 64, 0))} AS prompt_ids, response FROM sample_batches WHERE rank < total - total % 8""",
 )
+cte(
+    "sided", ("sample_batches",),
+    """SELECT rank // 8 AS batch_id, rank % 8 AS slot, pixels, CASE WHEN len(pixels) > 0 THEN [[1, len(pixels)]] ELSE [] END AS grid,
+    list_transform(input_ids, lambda v, i: CASE WHEN i % 5 <> 0 THEN 1 ELSE 0 END) AS ma, list_transform(input_ids, lambda v: v % 3) AS ty,
+    list_transform(prompt_ids, lambda v, i: CASE WHEN i % 5 <> 0 THEN 1 ELSE 0 END) AS pma, list_transform(prompt_ids, lambda v: v % 3) AS pty
+    FROM (SELECT *, list_transform(list_filter(input_ids, lambda v: v % 7 = 0), lambda v: [v % 5, v % 2]) AS pixels FROM sample_batches)
+    WHERE rank < total - total % 8""",
+)
+_PAIRS = "array_to_string(list_transform(flatten(list({x} ORDER BY slot)), lambda v: array_to_string(v, ' ')), '|')"
+_OFFSETS = "'0 ' || string_agg(CAST({x} AS VARCHAR), ' ' ORDER BY slot)"
+oracle(
+    "collate_sides", ("sided",),
+    f"""SELECT batch_id, string_agg({joined(pad_right('ma', 320, 0))}, '|' ORDER BY slot) AS mask, string_agg({joined(pad_right('ty', 320, 0))}, '|' ORDER BY slot) AS types,
+    string_agg({joined(pad_left('pma', 64, 0))}, '|' ORDER BY slot) AS prompt_mask, string_agg({joined(pad_left('pty', 64, 0))}, '|' ORDER BY slot) AS prompt_types,
+    {_PAIRS.format(x='pixels')} AS pixels, {_OFFSETS.format(x='pe')} AS pixel_offsets, {_PAIRS.format(x='grid')} AS grids, {_OFFSETS.format(x='ge')} AS grid_offsets
+    FROM (SELECT *, sum(len(pixels)) OVER w AS pe, sum(len(grid)) OVER w AS ge FROM sided WINDOW w AS (PARTITION BY batch_id ORDER BY slot)) GROUP BY batch_id""",
+)
 
 # --- logits --------------------------------------------------------------------------
 
