@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnloom.functions.schedule import Schedule
+from turnloom.sources.sinks import staged
 
 WIDTH = 16_384
 
@@ -139,36 +140,43 @@ def cosine_curriculum(epoch: Column, lambda_max: float = 1.0, lambda_min: float
     return wave * F.lit(float(lambda_max - lambda_min)) + F.lit(float(lambda_min))
 
 
+def _marks(records: DataFrame, key: str, eps: float, most: int) -> DataFrame:
+    """(key, k): the rows of (key, k, v) that reach the mark, which is the value of the last row that did, plus ``eps``.
+
+    The first row sets the first mark. One round finds the next such row of every key by a minimum that is formed in each
+    task before the shuffle, so no key's rows are gathered. ``most`` rounds, fewer if no key goes on.
+    """
+    row = F.min(F.struct("k", "v")).alias("m")
+    last = staged(records.groupBy(key).agg(row).select(key, "m.k", "m.v"), "mark")
+    found = last.select(key, "k").where("false")
+    for _ in range(most):
+        marks = last.select(key, F.col("k").alias("after"), (F.col("v") + F.lit(float(eps))).alias("mark"))
+        reached = records.join(marks, key).where((F.col("k") > F.col("after")) & (F.col("v") >= F.col("mark")))
+        last = staged(reached.groupBy(key).agg(row).select(key, "m.k", "m.v"), "mark")
+        if last.isEmpty():
+            break
+        found = found.unionByName(last.select(key, "k"))
+    return found
+
+
 def threshold_update(
     df: DataFrame, key: str, step: str, loss: str, start: float = 0.0, eps: float = 0.0, width: int = WIDTH
 ) -> DataFrame:
     """(key, step, loss, threshold): grows by 0.1 up to 1 whenever the loss has not improved.
 
     With eps = 0 the compared loss is the running maximum. With eps > 0 only a new strict
-    maximum can reach the next mark, so just those rows are folded in order.
+    maximum can reach the next mark. As the threshold is full after at most ten growths, the
+    rows that reach a mark are found one growth at a time (:func:`_marks`).
     """
     seen = running(df.select(key, step, loss), key, step, maxes={"peak": F.col(loss)}, width=width)
     if eps == 0.0:
         hits = seen.withColumn("hit", F.coalesce((F.col(loss) >= F.col("peak")).cast("int"), F.lit(0)))
     else:
-        records = seen.where(F.col("peak").isNull() | (F.col(loss) > F.col("peak")))
-        item = F.struct(F.col(step).cast("long").alias("k"), F.col(loss).cast("double").alias("v"))
-        chosen = records.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r")).select(
-            key,
-            F.explode(
-                F.aggregate(
-                    "r",
-                    F.struct(F.lit(None).cast("double").alias("p"), F.array().cast("array<bigint>").alias("h")),
-                    lambda a, x: F.struct(
-                        F.when(a["p"].isNull() | (x["v"] >= a["p"] + F.lit(eps)), x["v"]).otherwise(a["p"]).alias("p"),
-                        F.when(x["v"] >= a["p"] + F.lit(eps), F.concat(a["h"], F.array(x["k"]))).otherwise(a["h"]).alias("h"),
-                    ),
-                    lambda a: a["h"],
-                )
-            ).alias(step),
-            F.lit(1).alias("hit"),
-        )
-        hits = seen.join(chosen, [key, step], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+        seen = staged(seen, "peaks")
+        records = seen.where(F.col(loss).isNotNull() & (F.col("peak").isNull() | (F.col(loss) > F.col("peak"))))
+        narrow = records.select(key, F.col(step).cast("long").alias("k"), F.col(loss).cast("double").alias("v"))
+        chosen = _marks(narrow, key, eps, max(0, int(10 * (1.0 - start))) + 1)
+        hits = seen.join(chosen.withColumnRenamed("k", step).withColumn("hit", F.lit(1)), [key, step], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     counted = running(hits.select(key, step, loss, "hit"), key, step, sums={"before": F.col("hit")}, width=width)
     grown = F.least(F.lit(1.0), F.lit(float(start)) + F.lit(0.1) * (F.col("before") + F.col("hit")))
     return counted.select(key, step, loss, grown.alias("threshold"))

@@ -14,6 +14,7 @@ from turnloom.functions import content as C
 from turnloom.functions import text as X
 from turnloom.functions.tokens import PAD_ID, Dictionary, dictionary_table
 from turnloom.operators import batches as B
+from turnloom.operators import candidates as G
 from turnloom.operators import divergence as D
 from turnloom.operators import evaluate as E
 from turnloom.operators import exact as K
@@ -546,6 +547,12 @@ def fits_budget(spark, sf):
     return with_costs(spark, sf).where(F.col("role") == "assistant").select("conv_id", "turn", fits.alias("fits"))
 
 
+@query
+def candidate_windows(spark, sf):
+    """Every start that fits, or the nearest one, with the lengths of its window."""
+    return G.candidate_windows(fx.turns(spark, sf), BUDGET)
+
+
 @query
 def window_first_fit(spark, sf):
     return windows(spark, sf).where(F.col("kind") != "trunc").select("conv_id", "turn", "start", "n_prompt")
@@ -789,6 +796,13 @@ def threshold_update(spark, sf):
     return out.select("run", "step", r6("threshold").alias("threshold"))
 
 
+@query
+def threshold_margin(spark, sf):
+    """Only a loss that is higher by the margin moves the mark."""
+    out = S.threshold_update(fx.runlog(spark, sf), "run", "step", "loss", eps=0.5)
+    return out.select("run", "step", r6("threshold").alias("threshold"))
+
+
 @query
 def sample_route(spark, sf):
     parts = []

@@ -426,6 +426,14 @@ oracle(
     "fits_budget", ("msg",),
     "SELECT conv_id, turn, before + cost <= 320 AND before + 1 <= 64 AND n <= 256 AS fits FROM msg WHERE role = 'assistant'",
 )
+oracle(
+    "candidate_windows", ("msg", "head", "starts"),
+    """SELECT conv_id, turn, n_starts, s AS start, CAST(np AS BIGINT) AS n_prompt, CAST(nf AS BIGINT) AS n_full, fits FROM (
+    SELECT *, np <= 64 AND nf <= 320 AND n <= 256 AS fits, count(*) OVER (PARTITION BY conv_id, turn) AS n_starts, max(s) OVER (PARTITION BY conv_id, turn) AS last FROM (
+    SELECT t.conv_id, t.turn, t.n, s.s, h.p + t.before - m.before + 1 AS np, h.p + t.before - m.before + t.cost AS nf
+    FROM msg t JOIN head h USING (conv_id) JOIN starts s ON s.conv_id = t.conv_id AND s.s <= t.turn JOIN msg m ON m.conv_id = s.conv_id AND m.turn = s.s
+    WHERE t.role = 'assistant')) WHERE fits OR s = last""",
+)
 oracle(
     "window_first_fit", ("samples",),
     "SELECT conv_id, turn, start, CAST(len(prompt_ids) AS BIGINT) AS n_prompt FROM samples WHERE start IS NOT NULL",
@@ -666,6 +674,13 @@ oracle(
     """SELECT run, step, round(least(CAST(1.0 AS DOUBLE), CAST(0.1 AS DOUBLE) * sum(hit) OVER (PARTITION BY run ORDER BY step)), 6) + 0.0 AS threshold
     FROM (SELECT *, CASE WHEN loss >= max(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS hit FROM rl)""",
 )
+cte(
+    "margin", ("rl",),
+    """SELECT run, step, loss AS mark, 0 AS hits FROM rl WHERE step = 0
+    UNION ALL SELECT r.run, r.step, CASE WHEN r.loss >= f.mark + 0.5 THEN r.loss ELSE f.mark END, f.hits + CASE WHEN r.loss >= f.mark + 0.5 THEN 1 ELSE 0 END
+    FROM margin f JOIN rl r ON r.run = f.run AND r.step = f.step + 1""",
+)
+oracle("threshold_margin", ("margin",), "SELECT run, step, round(least(CAST(1.0 AS DOUBLE), CAST(0.1 AS DOUBLE) * hits), 6) + 0.0 AS threshold FROM margin")
 oracle(
     "sample_route", ("rl",),
     """SELECT f.ratio, run, step, stored, CASE WHEN r < 0.7 * CASE f.ratio WHEN 'constant' THEN 0.5

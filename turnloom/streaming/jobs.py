@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ def expand_stream(
 
 
 class _KeepLatest(StatefulProcessor):
-    """Newest rows of one (shard, salt), at most ``capacity`` of them."""
+    """Newest rows of one (shard, salt), at most ``capacity`` of them; passes on what came in and what went out."""
 
     schema = StructType([StructField("step", LongType()), StructField("item", LongType())])
 
@@ -71,12 +72,16 @@ class _KeepLatest(StatefulProcessor):
         self.kept = handle.getListState("kept", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+        before = {tuple(r) for r in self.kept.get()} if self.kept.exists() else set()
+        newest = before
         for chunk in rows:
-            newest += list(zip(chunk["step"].tolist(), chunk["item"].tolist()))
-            newest = sorted(newest, reverse=True)[: self.capacity]
-        self.kept.put(newest)
-        frame = pd.DataFrame(newest, columns=["step", "item"])
+            newest = newest.union(zip(chunk["step"].tolist(), chunk["item"].tolist()))
+            if len(newest) > self.capacity:
+                newest = set(heapq.nlargest(self.capacity, newest))
+        if newest != before:
+            self.kept.put(sorted(newest, reverse=True))
+        changes = [(*r, 1) for r in newest - before] + [(*r, -1) for r in before - newest]
+        frame = pd.DataFrame(changes, columns=["step", "item", "change"], dtype="int64")
         frame.insert(0, "salt", int(key[1]))
         frame.insert(0, "shard", int(key[0]))
         yield frame
@@ -89,21 +94,23 @@ def replay_stream(stream: DataFrame, capacity: int = CAPACITY, salts: int = 8) -
     """Bounded newest-N buffer per shard over a stream of (shard, step, item).
 
     A shard is spread over ``salts`` keys, each with its own bounded buffer, so a busy shard
-    does not end up in one task. Every micro-batch emits the buffers it changed;
+    does not end up in one task. Every micro-batch emits only how it changed the buffers:
+    ``change`` is 1 for a row that came in and -1 for one that went out. A row that came and
+    went in one batch is not emitted; a repeated (step, item) counts once.
     :func:`replay_result` reads the current shard buffer out of the emitted rows.
     """
     salted = stream.select("shard", "step", "item", F.pmod(F.xxhash64("item"), F.lit(salts)).alias("salt"))
     return salted.groupBy("shard", "salt").transformWithStateInPandas(
-        _KeepLatest(capacity), "shard long, salt long, step long, item long", "Append", "None"
+        _KeepLatest(capacity), "shard long, salt long, step long, item long, change long", "Append", "None"
     )
 
 
 def replay_result(emitted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Newest rows per shard: whatever an older buffer held beyond them is older than they are."""
+    """Newest rows per shard, of those that came into a salted buffer and have not left it."""
     from turnloom.operators.sampling import replay_keep
 
-    distinct = emitted.select("shard", "step", "item").distinct()
-    return replay_keep(distinct, ["step", "item"], capacity, shard="shard")
+    held = emitted.groupBy("shard", "step", "item").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+    return replay_keep(held, ["step", "item"], capacity, shard="shard")
 
 
 class _InOrder(StatefulProcessor):
