@@ -62,8 +62,8 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def op7_prefix_tree(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    segments, _, paths = chattree.prefix_trees(turns.union(probe))
-    return chattree.read_back(segments, paths)
+    segments, runs, paths = chattree.prefix_trees(turns.union(probe), BYTE_BPE)
+    return chattree.with_layout(chattree.read_back(segments, paths), runs)
 
 
 @query

@@ -199,3 +199,12 @@ def read_back(segments: DataFrame, paths: DataFrame) -> DataFrame:
     rows = paths.select("c", "depth", "node").join(segments.select("node", "turn", "loss_from", "loss_to"), "node")
     ordered = rows.repartition("c").sortWithinPartitions("c", "depth").select("c", "turn", "loss_from", "loss_to")
     return ordered.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def with_layout(digests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Digests with where each conversation's own run lies: ``run_place`` in the layout, ``run_position`` (position id of
+    its first unit) and ``attends``, the intervals above it as ``start-end`` parted by blanks. All three are null for a
+    conversation whose every turn belongs to others."""
+    spans = F.array_join(F.transform("attends", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
+    own = runs.select(F.when(F.col("c") != _NULL, F.col("c")).alias("_c"), F.col("place").alias("run_place"), F.col("position").alias("run_position"), spans.alias("attends"))
+    return digests.join(own, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
