@@ -454,11 +454,15 @@ def attn_mask(spark, sf):
 
 
 def generated(spark, sf) -> DataFrame:
-    """Left-padded prompts and right-padded responses, the latter cut from the full ids."""
+    """Left-padded prompts and right-padded responses, the latter cut from the full ids.
+
+    A response holds up to ``max_output`` ids of the answer and the end marker after them.
+    """
     s = samples(spark, sf)
     answer = A.cut_generated(F.col("input_ids"), F.size("prompt_ids"))
     return s.select(
-        "sample_id", A.pad_left(F.col("prompt_ids"), 64, PAD_ID).alias("prompt"), A.pad_right(answer, 256, PAD_ID).alias("response")
+        "sample_id", A.pad_left(F.col("prompt_ids"), BUDGET.max_input, PAD_ID).alias("prompt"),
+        A.pad_right(answer, BUDGET.max_output + 1, PAD_ID).alias("response"),
     )
 
 
