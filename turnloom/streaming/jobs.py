@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from turnloom.config import Budget
 from turnloom.functions.schedule import Schedule
@@ -20,8 +20,9 @@ from turnloom.operators.template import GENERIC, Template
 from turnloom.operators.windows import DEFAULT_WIDTH, expand_nested
 from turnloom.sources.sinks import work_dir
 
-#: Steps of a run that one state key puts in order.
+#: Steps of a run that are put in order together, and buckets that the blocks of all runs are dealt to.
 BLOCK = 512
+BUCKETS = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -113,37 +114,66 @@ def replay_result(emitted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return replay_keep(held, ["step", "item"], capacity, shard="shard")
 
 
+#: Rows of a bucket that are settled at once.
+_SETTLED = 1 << 18
+_WAITING = np.dtype([("run", "<i8"), ("block", "<i8"), ("place", "<i8"), ("step", "<i8"), ("total", "<f8"), ("loss", "<f8")])
+
+
 class _InOrder(StatefulProcessor):
-    """Lets the steps of one (run, block) pass in order: ``front`` is the next place, ``waiting`` what came too early."""
+    """Lets the steps of each (run, block) of a bucket pass in order: ``front`` is the next place, ``held`` what came too early.
 
-    held = StructType([StructField("place", LongType()), StructField("step", LongType()), StructField("total", LongType()), StructField("loss", DoubleType())])
-    names = held.names
+    A bucket holds many (run, block), so that frames, sorts and emitted batches are shared by them; state is read and
+    written for those that got rows only. A bucket of any size is settled some rows at a time.
+    """
 
     def __init__(self, width: int) -> None:
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.front = handle.getValueState("front", StructType([StructField("place", LongType())]))
-        self.waiting = handle.getListState("waiting", self.held)
+        of = StructType([StructField("run", LongType()), StructField("block", LongType())])
+        self.state = handle.getMapState("state", of, StructType([StructField("front", LongType()), StructField("held", BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        front = self.front.get()[0] if self.front.exists() else max(0, int(key[1]) * self.width)
-        early = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        parts = [pd.DataFrame(early, columns=self.names), *(chunk[self.names] for chunk in rows)]
-        seen = pd.concat([p for p in parts if len(p)], ignore_index=True)
-        again = seen.duplicated("place").to_numpy() | (seen["place"] < front).to_numpy()
-        late = seen[again].assign(late=True)
-        good = seen[~again].sort_values("place")
-        ready = int(np.cumprod(good["place"].to_numpy() == front + np.arange(len(good))).sum())
-        rest = good.iloc[ready:]
-        self.front.update((front + ready,))
-        if len(rest):
-            self.waiting.put(list(rest.astype(object).itertuples(index=False, name=None)))
-        elif early:
-            self.waiting.clear()
-        out = pd.concat([good.iloc[:ready].assign(late=False), late]) if len(late) else good.iloc[:ready].assign(late=False)
-        out.insert(0, "run", int(key[0]))
-        yield out[["run", "step", "total", "loss", "late"]]
+        parts: list[np.ndarray] = []
+        for chunk in rows:
+            part = np.empty(len(chunk), _WAITING)
+            for name in _WAITING.names:
+                part[name] = chunk[name].to_numpy()
+            parts.append(part)
+            if sum(map(len, parts)) >= _SETTLED:
+                yield self._settle(np.concatenate(parts))
+                parts = []
+        if parts:
+            yield self._settle(np.concatenate(parts))
+
+    def _settle(self, came: np.ndarray) -> pd.DataFrame:
+        keys = list(map(tuple, np.unique(came[["run", "block"]]).tolist()))
+        known = [self.state.getValue(k) or (max(0, k[1] * self.width), b"") for k in keys]
+        # What waited comes before what is new: of equal places the first row counts.
+        seen = np.concatenate([np.frombuffer(b"".join(bytes(held) for _, held in known), _WAITING), came])
+        seen = seen[np.lexsort((seen["place"], seen["block"], seen["run"]))]
+        run, block, place = seen["run"], seen["block"], seen["place"]
+        opens = np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])])
+        group = np.cumsum(opens) - 1
+        front = np.array([f for f, _ in known], np.int64)
+        late = (place < front[group]) | (~opens & np.concatenate([[False], place[1:] == place[:-1]]))
+        good = np.cumsum(~late)
+        # Places only rise, so the good ones that follow each other from the front are a prefix of their group.
+        ready = ~late & (place == front[group] + good - 1 - (good - ~late)[opens][group])
+        front += np.bincount(group[ready], minlength=len(keys))
+        early = ~late & ~ready
+        ends = np.searchsorted(group[early], np.arange(len(keys) + 1))
+        held = seen[early]
+        for i, (k, was) in enumerate(zip(keys, known)):
+            now = (int(front[i]), held[ends[i] : ends[i + 1]].tobytes())
+            if now != (was[0], bytes(was[1])):
+                self.state.updateValue(k, now)
+        out = seen[ready | late]
+        total = out["total"]
+        return pd.DataFrame({
+            "run": out["run"], "step": out["step"], "total": total if np.isnan(total).any() else total.astype("int64"),
+            "loss": out["loss"], "late": late[ready | late],
+        })
 
     def close(self) -> None:
         pass
@@ -153,19 +183,20 @@ def _place(first: int, stride: int) -> Column:
     return ((F.col("step") - first) / stride).cast("long")
 
 
-def schedule_stream(stream: DataFrame, first: int = 0, stride: int = 1, width: int = BLOCK) -> DataFrame:
+def schedule_stream(stream: DataFrame, first: int = 0, stride: int = 1, width: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
     """The steps of runs in order, from a stream of (run, step, total, loss) in any order and any micro-batches.
 
-    The steps of a run are ``first``, ``first + stride``, ... . They are dealt to blocks of ``width``, and a block's key
-    holds back what came before an earlier step of the block, so a busy run is spread over many keys and a key holds at most
-    ``width`` rows. A step that came before is reported as late and not passed on again, as is one off that grid.
-    :func:`schedule_result` folds what was passed on.
+    The steps of a run are ``first``, ``first + stride``, ... . They are dealt to blocks of ``width``; what came before an
+    earlier step of its block is held back, at most ``width`` rows a block. Blocks are dealt to ``buckets`` state keys, so
+    a busy run is spread over many keys and many short runs share one. A step that came before is reported as late and not
+    passed on again, as is one off that grid. :func:`schedule_result` folds what was passed on.
     """
     off = (F.col("step") < first) | ((F.col("step") - first) % stride != 0)
     place = F.when(off, -1).otherwise(_place(first, stride))
     rows = stream.select(F.col("run").cast("long").alias("run"), F.floor(place / width).cast("long").alias("block"), place.alias("place"), F.col("step").cast("long").alias("step"), F.col("total").cast("long").alias("total"), F.col("loss").cast("double").alias("loss"))
     # What is off the grid goes to block -1, whose front is beyond it.
-    return rows.groupBy("run", "block").transformWithStateInPandas(
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("run", "block"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         _InOrder(width), "run long, step long, total long, loss double, late boolean", "Append", "None"
     )
 
