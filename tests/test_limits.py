@@ -1,10 +1,14 @@
 """Results at the limits of budgets, blocks and buffers."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from check_oracles import difference
+from turnloom.operators import evaluate as E
 from turnloom.plans.catalog import QUERIES
 from turnloom.plans.oracles import ORACLES
 from turnloom.streaming import jobs
@@ -61,3 +65,14 @@ def test_short_runs_share_the_frames_of_a_bucket(monkeypatch, settled):
     assert set(zip(passed["run"], passed["step"], passed["loss"])) == set(zip(log["run"], log["step"], log["loss"])) and len(passed) == 3000
     off = log[log["run"] < 2].assign(block=-1, place=-1)
     assert pd.concat(sent(off))["late"].all()
+
+
+def test_words_of_a_whole_batch_are_never_held_at_once():
+    """10,000 pairs of 100 words each take some megabytes of objects, not hundreds; null and empty lists score 0."""
+    words = pa.array([[f"word{(i + j) % 5000}" for j in range(100)] for i in range(10_000)] + [None, []], pa.list_(pa.string()))
+    tracemalloc.start()
+    scores = E.pair_scores(words, words).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    assert scores[:10_000] == [1.0] * 10_000 and scores[10_000:] == [0.0, 0.0]

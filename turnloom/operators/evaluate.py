@@ -14,21 +14,26 @@ def rouge_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def pair_scores(preds: pa.Array, targets: pa.Array, stemmed: bool = True) -> pa.Array:
+    """ROUGE-L of pairs of word lists. Words become Python objects one pair at a time: those of a whole batch would take
+    several times the bytes of its texts."""
+
+    def prepared(words: pa.Scalar) -> list[str]:
+        return [R.stem(w) if stemmed and len(w) > 3 else w for w in words.as_py() or []]
+
+    out = []
+    for p, t in zip(preds, targets):
+        p, t = prepared(p), prepared(t)
+        out.append(R.f_measure(R.lcs_length(t, p), len(t), len(p)))
+    return pa.array(out, pa.float64())
+
+
 def rouge_l(pred: Column, target: Column, stemmed: bool = True) -> Column:
     """ROUGE-L F-measure of one pair. Words longer than three letters are stemmed."""
 
     @F.arrow_udf("double")
     def score(preds: pa.Array, targets: pa.Array) -> pa.Array:
-        def prepared(words: list[str] | None) -> list[str]:
-            if not stemmed:
-                return words or []
-            return [R.stem(w) if len(w) > 3 else w for w in words or []]
-
-        out = []
-        for p, t in zip(preds.to_pylist(), targets.to_pylist()):
-            p, t = prepared(p), prepared(t)
-            out.append(R.f_measure(R.lcs_length(t, p), len(t), len(p)))
-        return pa.array(out, pa.float64())
+        return pair_scores(preds, targets, stemmed)
 
     return score(rouge_tokens(pred), rouge_tokens(target))
 
