@@ -14,14 +14,21 @@ import types
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from turnloom.llm.arrow import utf8
 
 #: Distinct pieces kept per generation; the older of two generations is dropped when the newer one is full.
 CACHE_PIECES = 150_000
 #: White space other than blanks and line ends, and separators on which libraries disagree.
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
-_MARKS = frozenset(",.;:!?")
+#: White space that no text has which is cut here.
+_BETWEEN = "\x1c"
+#: Signs that part from the letters before them; an apostrophe may not.
+_MARKS = ",.;:!?*$&%#@+=~^_|/\\()[]{}<>\"`-"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,13 +78,13 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def _bare(self, piece: str, cache: _Pieces) -> bytes:
-        if len(piece) > 1 and piece[-1] in _MARKS and piece[:-1].isalpha():
-            return cache[piece[:-1]] + cache[piece[-1]]
         if piece.isalpha():
             if not self.lower:
                 return self._word(piece)
             if "Σ" not in piece and "İ" not in piece and unicodedata.is_normalized("NFC", piece):
                 return self._word(piece.lower())
+        elif (head := piece.rstrip(_MARKS)) != piece and head.isalpha():
+            return cache[head] + cache[piece[len(head) :]]
         return self._library(piece)
 
     def _spaced(self, piece: str, cache: _Pieces) -> bytes:
@@ -85,23 +92,83 @@ class Encoder:
             head, *rest = piece.split("\n")
             line = self.bare["\n"]
             return line.join([cache[head], *(self.bare[x] for x in rest)])
-        if len(piece) > 1 and piece[-1] in _MARKS and piece[:-1].isalpha():
-            return cache[piece[:-1]] + self.bare[piece[-1]]
-        return self._word(" " + piece) if piece.isalpha() else self._library(" " + piece)
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if (head := piece.rstrip(_MARKS)) != piece and head.isalpha():
+            return cache[head] + self.bare[piece[len(head) :]]
+        return self._library(" " + piece)
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text holds what is not certain to be cut, so that the library must see all of it."""
+        if "<" in text and self.special.search(text) or any(c in text for c in _RARE_SPACE):
+            return True
+        return not self.lower and (text[0].isspace() or text[-1].isspace() or any(x in text for x in _DOUBLE_SPACE))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if "<" in text and self.special.search(text) or any(c in text for c in _RARE_SPACE):
+        if self._whole(text):
             return self._library(text)
         if self.lower:
             return b"".join(map(self.bare.__getitem__, text.split()))
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in _DOUBLE_SPACE):
-            return self._library(text)
         head, *rest = text.split(" ")
         line = self.bare["\n"]
         return line.join([self.bare[x] for x in head.split("\n")]) + b"".join(map(self.spaced.__getitem__, rest))
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin; a null text is empty.
+
+        The texts are cut into pieces as they lie in their buffer, equal pieces are found there and looked up once.
+        """
+        whole: dict[int, bytes] = {}
+        for i, text in enumerate(texts.to_pylist()):
+            if text and self._whole(text):
+                whole[i] = self._library(text)
+        data, at = utf8(pc.if_else(pa.array(np.isin(np.arange(len(texts)), list(whole))), "", texts) if whole else texts)
+        first, last = int(at[0]), int(at[-1])
+        data = data[first:last]
+        cut = np.zeros(len(data) + 1, bool)
+        if self.lower:
+            # A piece ends behind white space.
+            cut[1:] = (data == 32) | (data == 10)
+        else:
+            # A piece begins at the blank before it.
+            cut[:-1] = data == 32
+        cut[at - first] = True
+        bounds = np.flatnonzero(cut).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(max(0, len(bounds) - 1), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        found = self._found(pieces.dictionary)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        known, index = np.frombuffer(b"".join(found), "<u4"), np.asarray(pieces.indices)
+        counts = sizes[index]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        # Id k of a piece lies at the piece's place among the known ids plus k.
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], counts) + np.arange(ends[-1])]
+        starts = ends[np.searchsorted(bounds, at - first)]
+        return self._placed(ids, starts, whole) if whole else (ids, starts)
+
+    def _found(self, pieces: pa.StringArray) -> list[bytes]:
+        """The ids of each piece; one string for all, split again, is made faster than a string each."""
+        if not len(pieces):
+            return []
+        if self.lower:
+            pieces = pc.utf8_rtrim(pieces, " \n")
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), _BETWEEN)[0].as_py().split(_BETWEEN)
+        if self.lower:
+            return list(map(self.bare.__getitem__, words))
+        spaced, bare = self.spaced, self.bare
+        return [spaced[w[1:]] if w[0] == " " else bare["\n"].join([bare[x] for x in w.split("\n")]) for w in words]
+
+    @staticmethod
+    def _placed(ids: np.ndarray, starts: np.ndarray, whole: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with those of whole texts put in their places, which are empty so far."""
+        parts, before = [], 0
+        sizes = np.diff(starts)
+        for i in sorted(whole):
+            parts += [ids[before : starts[i]], np.frombuffer(whole[i], "<u4")]
+            before, sizes[i] = starts[i], len(whole[i]) // 4
+        return np.concatenate([*parts, ids[before:]]), np.concatenate(([0], np.cumsum(sizes)))
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary file. The package travels to the workers by value with each task, so what

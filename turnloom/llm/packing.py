@@ -20,6 +20,8 @@ from turnloom.llm.bpe import encoder
 
 CAPACITY = 2048
 GROUP_DOCS = 4096
+#: Text that is cut into pieces at once.
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -66,14 +68,16 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = encoder(path), 4 * capacity
-        for batch in splits(batches, "text"):
+        encode = encoder(path)
+        for batch in splits(batches, "text", SLICE_BYTES):
             out: list[tuple] = []
-            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py() or "") + end
-                for a in range(0, len(ids), step):
-                    part = ids[a : a + step]
-                    out.append((ident, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
+            ids, starts = encode.batch(batch.column("text"))
+            for ident, begin, stop in zip(batch.column("id").to_pylist(), starts.tolist(), starts[1:].tolist()):
+                size = stop - begin + 1
+                for a in range(0, size, capacity):
+                    length = min(capacity, size - a)
+                    crc = zlib.crc32(ids[begin + a : min(begin + a + capacity, stop)])
+                    out.append((ident, a, length, zlib.crc32(end, crc) if a + length == size else crc, size))
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
