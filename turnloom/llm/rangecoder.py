@@ -37,31 +37,36 @@ class _Model:
         self.id2, self.sure2 = np.zeros(_CONTEXTS, np.int32), np.zeros(_CONTEXTS, np.int8)
         self.credit = np.full((128, 3), _CREDIT, np.int64)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.step = 0
+        self.step, self.recent = 0, []
 
     def look(self) -> None:
         """Predictions of every lane at this position, with the mass that each order puts on its own."""
         if self.step % _REFRESH == 0:
+            # Counts are read here only, so the ids of all steps since are counted at once.
+            if self.recent:
+                self.counts += np.bincount(np.concatenate(self.recent), minlength=len(self.counts)) * _GAIN
+                self.recent = []
             # No count falls below one, so halving ends only above the size of the alphabet.
             while self.counts.sum() > max(_COUNT_LIMIT, 2 * len(self.counts)):
                 self.counts = (self.counts + 1) >> 1
             self.cumulative = np.concatenate(([0], np.cumsum(self.counts)))
-            self.width = np.diff(self.cumulative)
             self.total = int(self.cumulative[-1])
         self.step += 1
         self.at2 = (self.last * 40503 + self.before * 10007) & (_CONTEXTS - 1)
         self.guess1, self.guess2 = self.id1[self.last].astype(np.int64), self.id2[self.at2].astype(np.int64)
-        self.c1, self.c2 = self.sure1[self.last].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.context = (self.c2 * 8 + self.c1) * 2 + (self.guess1 == self.guess2)
+        self.c1, self.c2 = self.sure1[self.last], self.sure2[self.at2]
+        # At most 127, so eight bits hold it.
+        self.context = ((self.c2 * 8 + self.c1) * 2 + (self.guess1 == self.guess2)).astype(np.int64)
         weights = np.maximum(1, self.credit * _WEIGHT_UNIT // self.credit.sum(axis=1, keepdims=True))
-        shares = weights[self.context]
-        self.weight0, self.mass1, self.mass2 = shares[:, 0], shares[:, 1] * self.total, shares[:, 2] * self.total
-        self.unit = shares.sum(axis=1) * self.total
+        self.weight0 = weights[:, 0].copy()[self.context]
+        self.mass1, self.mass2 = (weights[:, 1] * self.total)[self.context], (weights[:, 2] * self.total)[self.context]
+        self.unit = (weights.sum(axis=1) * self.total)[self.context]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of every lane's id in the mixture, in units of ``unit``."""
         start = self.weight0 * self.cumulative[ids] + self.mass1 * (self.guess1 < ids) + self.mass2 * (self.guess2 < ids)
-        self.parts = self.weight0 * self.width[ids], self.mass1 * (self.guess1 == ids), self.mass2 * (self.guess2 == ids)
+        self.hit1, self.hit2 = self.guess1 == ids, self.guess2 == ids
+        self.parts = self.weight0 * self.counts[ids], self.mass1 * self.hit1, self.mass2 * self.hit2
         return start, self.parts[0] + self.parts[1] + self.parts[2]
 
     def find(self, value: np.ndarray) -> np.ndarray:
@@ -71,24 +76,31 @@ class _Model:
         near, far = np.where(swap, self.guess2, self.guess1), np.where(swap, self.guess1, self.guess2)
         for guess, mass in ((near, np.where(swap, self.mass2, self.mass1)), (far, np.where(swap, self.mass1, self.mass2))):
             begin = self.weight0 * self.cumulative[guess]
-            end = begin + self.weight0 * self.width[guess] + mass
+            end = begin + self.weight0 * self.counts[guess] + mass
             found = np.where((found < 0) & (rest >= begin) & (rest < end), guess, found)
             rest = np.where((found < 0) & (rest >= end), rest - mass, rest)
         open_ = np.flatnonzero(found < 0)
-        found[open_] = np.searchsorted(self.cumulative, rest[open_] // self.weight0[open_], side="right") - 1
+        # Neighbours in order share most of the way through the table.
+        sought = rest[open_] // self.weight0[open_]
+        order = np.argsort(sought)
+        found[open_[order]] = np.searchsorted(self.cumulative, sought[order], side="right") - 1
         return found
 
     def learn(self, ids: np.ndarray) -> None:
         """Uses the parts that ``interval`` found for the same ids."""
-        self.counts += np.bincount(ids, minlength=len(self.counts)) * _GAIN
-        whole = self.parts[0] + self.parts[1] + self.parts[2]
-        for order, part in enumerate(self.parts):
+        self.recent.append(ids)
+        # Where neither guess came true, order 0 earned all.
+        hit = self.hit1 | self.hit2
+        self.credit[:, 0] += np.bincount(self.context[~hit], minlength=128) * _CREDIT
+        at = np.flatnonzero(hit)
+        parts, context = [part[at] for part in self.parts], self.context[at]
+        whole = parts[0] + parts[1] + parts[2]
+        for order, part in enumerate(parts):
             earned = part * _CREDIT // whole
             # Sums of integers below 2 ** 53 are exact in bincount's doubles.
-            self.credit[:, order] += np.bincount(self.context, weights=earned, minlength=128).astype(np.int64)
+            self.credit[:, order] += np.bincount(context, weights=earned, minlength=128).astype(np.int64)
         self.credit = np.where(self.credit.sum(axis=1, keepdims=True) > _CREDIT_LIMIT, (self.credit + 1) >> 1, self.credit)
-        for guess, sure, known, c, at in ((self.guess1, self.sure1, self.id1, self.c1, self.last), (self.guess2, self.sure2, self.id2, self.c2, self.at2)):
-            hit = guess == ids
+        for guess, hit, sure, known, c, at in ((self.guess1, self.hit1, self.sure1, self.id1, self.c1, self.last), (self.guess2, self.hit2, self.sure2, self.id2, self.c2, self.at2)):
             known[at] = np.where(hit | (c > 1), guess, ids)
             sure[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
         self.before, self.last = self.last, ids
@@ -105,13 +117,17 @@ class _Coder:
 
     def settle(self):
         """Lanes whose upper 16 bits are fixed, again and again; the caller moves one word for each."""
+        at = slice(None)
         while True:
-            ready = (self.low ^ (self.low + self.range)) < _TOP
-            small = ~ready & (self.range < _BOTTOM)
-            if small.any():
-                self.range[small] = (~self.low[small] + _U(1)) & _MASK
-                ready |= small
-            at = np.flatnonzero(ready)
+            low, span = self.low[at], self.range[at]
+            ready = (low ^ (low + span)) < _TOP
+            small = np.flatnonzero(~ready & (span < _BOTTOM))
+            if len(small):
+                lanes = small if isinstance(at, slice) else at[small]
+                self.range[lanes] = (~low[small] + _U(1)) & _MASK
+                ready[small] = True
+            # A lane that was not ready stays so until the next step.
+            at = np.flatnonzero(ready) if isinstance(at, slice) else at[ready]
             if not len(at):
                 return
             yield at

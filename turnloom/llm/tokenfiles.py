@@ -26,6 +26,8 @@ from turnloom.sources.sinks import staged, work_dir
 
 MAGIC = b"TLB1"
 BLOCK_IDS = 1 << 22
+#: Text that is cut into pieces at once.
+SLICE_BYTES = 1 << 20
 _FIXED, _HEADER = "<4sIIIQ", "<QIIQB"
 _NULL = -(1 << 63)
 
@@ -97,10 +99,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
         documents, writer = 0, None
         with system.open_output_stream(f"{root}/{name}") as out:
             writer = BlockWriter(out, block_ids)
-            for batch in splits(batches, "text"):
+            for batch in splits(batches, "text", SLICE_BYTES):
                 documents += batch.num_rows
-                for ident, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                    writer.add(_NULL if ident is None else ident, encode(text.as_py() or "") + end)
+                ids, starts = encode.batch(batch.column("text"))
+                for ident, a, b in zip(batch.column("id").to_pylist(), starts.tolist(), starts[1:].tolist()):
+                    writer.add(_NULL if ident is None else ident, ids[a:b].tobytes() + end)
             writer.flush()
         yield pa.record_batch([pa.array([x], t) for x, t in ((TaskContext.get().partitionId(), pa.int64()), (name, pa.string()), (documents, pa.int64()), (writer.total, pa.int64()))], ["part", "file", "documents", "ids"])
 
