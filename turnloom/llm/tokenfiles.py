@@ -26,8 +26,8 @@ from turnloom.sources.sinks import staged, work_dir
 
 MAGIC = b"TLB1"
 BLOCK_IDS = 1 << 22
-#: Text that is cut into pieces at once.
-SLICE_BYTES = 1 << 20
+#: Text that is cut into pieces at once; the pieces known so far are hashed once for all of it.
+SLICE_BYTES = 1 << 22
 _FIXED, _HEADER = "<4sIIIQ", "<QIIQB"
 _NULL = -(1 << 63)
 
